@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -198,3 +199,31 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     scored = features.select("doc_id", *FEATURES).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def _carried(docs: DataFrame) -> DataFrame:
+    """Every column of docs as _in_0, _in_1, ... with the features of its text, in one pass over the texts."""
+    fields = docs.schema.fields
+    schema = ", ".join(f"_in_{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)) + ", doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)
+    names = [f"_in_{i}" for i in range(len(fields))] + ["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.array([text_features(v.as_py() or "") for v in batch.column(0)], dtype=np.float64).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(rows[:, i].copy()) for i in range(len(FEATURES)))], names=[*names, *FEATURES])
+
+    return docs.select(F.col("text").cast("string").alias("_text"), *(F.col(f.name).alias(f"_in_{i}") for i, f in enumerate(fields)), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, schema)
+
+
+def passing_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is at least threshold, with the columns of docs. Rows and features are staged together,
+    so that no text is shuffled and none is read twice by Python."""
+    carried = stage(_carried(docs), "carried")
+    model = fit(*training_rows(carried, labels))
+    fields = docs.schema.fields
+
+    @F.pandas_udf("double")
+    def score(*columns: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.column_stack([c.to_numpy() for c in columns])))
+
+    return carried.filter(score(*FEATURES) >= threshold).select(*(F.col(f"_in_{i}").alias(f.name) for i, f in enumerate(fields)))

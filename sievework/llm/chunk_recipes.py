@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stage
+
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 512, 11, 8192
 _GEAR = np.random.default_rng(20240501).integers(0, 2**32, 256, dtype=np.uint32)
 _SCHEMA = "doc_id long, text_sha256 string, n_bytes long, recipe binary, checks binary"
@@ -90,7 +92,21 @@ def dedupe_exact(docs: DataFrame) -> DataFrame:
     Recipes whose identifiers are all uncontested are compared as they are. Should an identifier be contested, the checks
     join the key, so that the two chunks count as different identifiers: the key below always carries both.
     """
-    recipes = document_recipes(docs)
+    recipes = stage(document_recipes(docs), "recipes")
     groups = recipes.groupBy("recipe", "checks").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     joined = recipes.alias("r").join(groups.alias("g"), (F.col("r.recipe") == F.col("g.recipe")) & (F.col("r.checks") == F.col("g.checks")))
     return joined.select("r.doc_id", "g.keep_id", "g.group_size", F.expr("r.doc_id <=> g.keep_id").alias("kept"), "r.text_sha256")
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """docs without the rows that dedupe_exact drops; of rows that repeat doc_id and text one stays, and all rows with a null
+    doc_id stay if their group has no other."""
+    report = stage(dedupe_exact(docs).select("doc_id", "kept", "text_sha256"), "exact")
+    text_hash = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    gone = report.filter("not kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.col("text_sha256").alias("_hash")).distinct()
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_hash", text_hash)
+    left = keyed.join(gone, ["_id", "_hash"], "left_anti")
+    if not report.filter("kept and doc_id is not null").groupBy("doc_id", "text_sha256").count().filter("count > 1").isEmpty():
+        nulls = left.filter("doc_id is null")
+        left = left.filter("doc_id is not null").dropDuplicates(["_id", "_hash"]).unionByName(nulls)
+    return left.select(*docs.columns)

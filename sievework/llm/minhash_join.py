@@ -175,3 +175,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = sketch.select("doc_id", "n_shingles", F.coalesce("node", F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "utf-8")).alias("place"))
     out = placed.join(by_class, "place", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.expr("doc_id <=> component_id"))
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component, the one with the least doc_id; rows that repeat that doc_id stay with it."""
+    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
