@@ -6,9 +6,11 @@ common, and a class posts only a prefix: a pair with THRESHOLD or more equal val
 lists of common values are skipped. Pairs that meet are counted over all coordinates, those at the threshold are confirmed on
 their full shingle sets, and the confirmed links' connected components are the result.
 
-A list of many near copies is not expanded into all pairs. First every member is compared with its list's leader, under a
-new order of leaders each round; members that are linked by then need no comparison. What is left of a list, members outside
-its largest component, is compared with every member of another component, so no link between components is lost.
+A list of many near copies is not expanded into all pairs. First every member is compared with its list's leader, the member
+that shares most of its shingles; members that are linked by then need no comparison. What is left of a list, members outside
+its largest component, is compared with every member of another component whose set has a size it can be linked with, so no
+link between components is lost. Sizes are bounded by the shingles that a class shares with any other one, and a
+bitmap of each set bounds what two sets have in common.
 
 A pair at similarity 0.75 has fewer than THRESHOLD of its COORDINATES values in common with a probability of 3e-6.
 
@@ -33,7 +35,9 @@ from .shared import Recent, stage
 
 SHINGLE, SIMILARITY = 5, 75
 COORDINATES, THRESHOLD = 64, 31
-MAX_STAR_ROUNDS = 6
+STAR_ROUNDS = 1
+BAND = 1.05
+BIT_WORDS = 16
 _RNG = np.random.default_rng(7)
 _FACTORS = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,6 +78,13 @@ def signature_keys(shingles: np.ndarray) -> np.ndarray:
     return _mixed(low ^ _FACTORS).view(np.int64)
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * BIT_WORDS buckets: whether it holds an odd number of shingles. Bits that differ between two sets
+    are at most as many as the shingles that only one of the two holds."""
+    odd = np.bincount((shingles % np.uint64(64 * BIT_WORDS)).astype(np.int64), minlength=64 * BIT_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, nodes, keys = [], [], []
@@ -89,15 +100,16 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, sets = [], []
+        nodes, sets, bits = [], [], []
         for wanted, value in zip(batch.column(0), batch.column(1), strict=True):
             shingles = shingle_set(value.as_py() or "")
             if xxhash.xxh3_128_digest(shingles.tobytes()) == wanted.as_py():  # else a row that repeats the doc_id
                 nodes.append(wanted.as_py())
                 sets.append(shingles.view(np.int64))
+                bits.append(parity_bits(shingles))
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.zeros(0, dtype=np.int64)])))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), listed], names=["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), listed, pa.array(bits, pa.list_(pa.int64()))], names=["node", "shingles", "bits"])
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -123,37 +135,60 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFram
     return full.filter(f"100 * common >= {SIMILARITY} * (size(set_a) + size(set_b) - common)").select("a", "b")
 
 
+def _band(n: str) -> str:
+    """A set size's place on a logarithmic scale, as an SQL expression."""
+    return f"cast(floor(ln(greatest(1, floor({n}))) / ln({BAND})) as int)"
+
+
+def size_bounds(sets: DataFrame) -> DataFrame:
+    """(node, n, most, bits): a class's set size and the largest set it can be linked with; classes that can't be linked are left out.
+
+    A shingle that one class alone holds is in no intersection. With s shared shingles of n, a partner of size m needs
+    s >= SIMILARITY / (100 + SIMILARITY) * (n + m), so m is bounded; it is at least SIMILARITY % of n.
+    """
+    held = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("node"))
+    alone = held.filter("held = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    sized = sets.select("node", "bits", F.size("shingles").alias("n")).join(alone, "node", "left")
+    sized = sized.withColumn("most", F.expr(f"(n - coalesce(alone, 0)) * {100 + SIMILARITY} div {SIMILARITY} - n"))
+    return sized.filter(f"100 * most >= {SIMILARITY} * n").select("node", F.col("n").cast("long").alias("n"), F.col("most").cast("long").alias("most"), "bits")
+
+
+def _may_link(n: str, most: str, bits: str, other_n: str, other_most: str, other_bits: str) -> str:
+    """Necessary for a link, by sizes and by the bits that differ."""
+    differ = " + ".join(f"bit_count({bits}[{i}] ^ {other_bits}[{i}])" for i in range(BIT_WORDS))
+    return f"{n} <= {other_most} and {other_n} <= {most} and 100 * {n} >= {SIMILARITY} * {other_n} and 100 * {other_n} >= {SIMILARITY} * {n} and {100 - SIMILARITY} * ({n} + {other_n}) >= {100 + SIMILARITY} * ({differ})"
+
+
 def links_between_classes(classes: DataFrame, sets_of) -> DataFrame:
     """(node, comp) of the classes that are linked to another one. sets_of: from nodes to their shingle sets."""
     posts = stage(prefix_posts(classes), "posts")
     nodes = posts.select("node").distinct()
-    few = stage(classes.join(nodes, "node"), "active")
-    sets = stage(sets_of(few), "sets")
+    sets = stage(sets_of(classes.join(nodes, "node")), "sets")
+    sized = stage(size_bounds(sets), "sizes")
+    few = stage(classes.join(sized.select("node"), "node").select("node", "keys"), "active")
+    sets = sets.join(sized.select("node"), "node", "left_semi").select("node", "shingles")
+    posts = stage(posts.join(sized, "node"), "posts")
     labels, found = few.select("node", F.col("node").alias("comp")), None
-    for star in range(MAX_STAR_ROUNDS + 1):
+    for star in range(STAR_ROUNDS + 1):
         labelled = posts.join(labels, "node")
-        sizes = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        open_keys = sizes.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-        open_posts = stage(labelled.join(open_keys, "key").select("key", "node", "comp", "total", F.col("main.comp").alias("main"), (F.col("comp") != F.col("main.comp")).alias("minor")), "open")
-        left = open_posts.agg(F.count(F.lit(1)), F.sum(F.when(F.col("minor"), F.col("total")))).first()
-        if not left[0]:
+        sizes = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
+        open_keys = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+        open_posts = stage(labelled.join(open_keys, "key").select("key", "node", "n", "most", "bits", "comp", (F.col("comp") != F.col("main.comp")).alias("minor")), "open")
+        if open_posts.isEmpty():
             break
-        last = left[1] <= 8 * left[0] or star == MAX_STAR_ROUNDS
-        if last:  # few enough: every member outside a list's largest component with every member of another one
-            outside = open_posts.filter("minor").select("key", F.col("node").alias("x"), F.col("comp").alias("comp_x"))
-            inside = open_posts.select("key", F.col("node").alias("y"), F.col("comp").alias("comp_y"), F.col("minor").alias("minor_y"))
-            pairs = outside.join(inside, "key").filter("comp_x != comp_y and (not minor_y or x < y)")
-        else:
-            order = F.col("node") if star == 0 else F.xxhash64("node", F.lit(star))
-            leaders = open_posts.groupBy("key").agg(F.min_by(F.struct("node", "comp"), order).alias("leader"))
-            pairs = open_posts.join(leaders, "key").filter("comp != leader.comp").select(F.col("node").alias("x"), F.col("leader.node").alias("y"))
+        if star == STAR_ROUNDS:  # every member outside a list's largest component with every member of another one that has a size it can be linked with
+            outside = open_posts.filter("minor").select("key", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("most").alias("most_x"), F.col("bits").alias("bits_x"), F.col("comp").alias("comp_x"))
+            outside = outside.withColumn("band", F.explode(F.expr(f"sequence({_band(f'n_x * {SIMILARITY} / 100')}, {_band(f'least(most_x, n_x * 100 / {SIMILARITY})')})")))
+            inside = open_posts.select("key", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("most").alias("most_y"), F.col("bits").alias("bits_y"), F.col("comp").alias("comp_y"), F.col("minor").alias("minor_y"), F.expr(_band("n")).alias("band"))
+            pairs = outside.join(inside, ["key", "band"]).filter(f"comp_x != comp_y and (not minor_y or x < y) and {_may_link('n_x', 'most_x', 'bits_x', 'n_y', 'most_y', 'bits_y')}")
+        else:  # the leader is the member that shares most, or, later, any other one
+            order = F.struct(F.col("n") / (F.col("most") + F.col("n")), "node") if star == 0 else F.struct(F.xxhash64("node", F.lit(star)), "node")
+            leaders = open_posts.groupBy("key").agg(F.min_by(F.struct("node", "comp", "n", "most", "bits"), order).alias("leader"))
+            pairs = open_posts.join(leaders, "key").filter(f"comp != leader.comp and {_may_link('n', 'most', 'bits', 'leader.n', 'leader.most', 'leader.bits')}").select(F.col("node").alias("x"), F.col("leader.node").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         new = stage(confirmed(pairs, few, sets), "links")
         found = new if found is None else found.union(new)
-        components = stage(connected_components(found), "components")
-        labels = few.select("node").join(components, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-        if last:
-            break
+        labels = few.select("node").join(stage(connected_components(found), "components"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
     return labels
 
 
@@ -166,7 +201,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def sets_of(few: DataFrame) -> DataFrame:
         wanted = few.select("first_id", "node")
-        return wanted.join(plain, F.col("first_id").eqNullSafe(F.col("doc_id"))).select("node", "text").mapInArrow(_sets, "node binary, shingles array<long>").dropDuplicates(["node"])
+        return wanted.join(plain, F.col("first_id").eqNullSafe(F.col("doc_id"))).select("node", "text").mapInArrow(_sets, "node binary, shingles array<long>, bits array<long>").dropDuplicates(["node"])
 
     labels = links_between_classes(classes, sets_of)
     lowest = classes.select("node", "first_id").join(labels, "node")
