@@ -2,6 +2,23 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "agg_funnel"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its own name; sql is the same in DuckDB, if SQL can express it."""
+
+    def add(function: Query) -> Query:
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return add
