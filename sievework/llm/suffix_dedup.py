@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .shared import stage
 
 LENGTH, GRAM = 400, 160
-GROUP_SEGMENTS, BLOCK_BYTES = 1500, 400_000
+GROUP_SEGMENTS, BLOCK_BYTES, DEALT_WINDOWS = 1500, 400_000, 64
 PIECE = 1 << 22
 SEPARATOR = 0xFF  # no byte of UTF-8
 _TABLE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -229,24 +229,27 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _segment_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, wanted: array of lo, n, gram, segment, wide) -> the segments' bytes."""
+    """(text, wanted: array of lo, n, gram, segment, wide) -> the segments' bytes; those of wide groups in parts of
+    DEALT_WINDOWS windows, at says where a part begins."""
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             rows: list[tuple] = []
             for text, wanted in zip(batch.column(0).slice(at, 200), batch.column(1).slice(at, 200).to_pylist(), strict=True):
                 data = (text.as_py() or "").encode()
-                rows += [(w["gram"], w["segment"], data[w["lo"] : w["lo"] + w["n"] + LENGTH - 1], w["wide"]) for w in wanted]
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["gram", "segment", "data", "wide"])
+                for w in wanted:
+                    size = DEALT_WINDOWS if w["wide"] else w["n"]
+                    rows += [(w["gram"], w["segment"], at, data[w["lo"] + at : w["lo"] + min(w["n"], at + size) + LENGTH - 1], w["wide"]) for at in range(0, w["n"], size)]
+            columns = list(zip(*rows, strict=True)) or [(), (), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], names=["gram", "segment", "at", "data", "wide"])
 
 
 def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for gram, segment, data in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-            raw = data.as_py()
+        for gram, segment, at, data in zip(*batch.columns, strict=True):
+            raw, begin = data.as_py(), at.as_py()
             n = len(raw) - LENGTH + 1
             digests = [xxhash.xxh3_128_digest(raw[i : i + LENGTH]) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array([gram.as_py()] * n, pa.int64()), pa.array([segment.as_py()] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(digests, pa.binary())], names=["gram", "segment", "first", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array([gram.as_py()] * n, pa.int64()), pa.array([segment.as_py()] * n, pa.binary()), pa.array(range(begin, begin + n), pa.int32()), pa.array(digests, pa.binary())], names=["gram", "segment", "first", "digest"])
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -265,11 +268,11 @@ def repeated_spans(plain: DataFrame, group_segments: int = GROUP_SEGMENTS) -> Da
     whole = segments.filter("copies > 1").select("gram", "segment", F.lit(0).alias("first"), (F.col("at.n") - 1).alias("last"))
     groups = segments.groupBy("gram").agg(F.count(F.lit(1)).alias("different"), F.min("copies").alias("least")).filter("different > 1 and least = 1")
     wanted = segments.join(groups, "gram").groupBy("at.id", "at.text_hash").agg(F.collect_list(F.struct("at.lo", "at.n", "gram", "segment", (F.col("different") > group_segments).alias("wide"))).alias("wanted"))
-    fetched = plain.select("id", "text_hash", "text").join(wanted, ["id", "text_hash"]).select("text", "wanted").mapInArrow(_segment_bytes, "gram long, segment binary, data binary, wide boolean")
+    fetched = plain.select("id", "text_hash", "text").join(wanted, ["id", "text_hash"]).select("text", "wanted").mapInArrow(_segment_bytes, "gram long, segment binary, at int, data binary, wide boolean")
     fetched = stage(fetched, "fetched")
     narrow = fetched.filter("not wide").select("gram", "segment", "data").repartition("gram").sortWithinPartitions("gram", "segment")
     narrow = narrow.mapInArrow(_sorted_blocks, "gram long, segment binary, first int, last int")
-    windows = fetched.filter("wide").select("gram", "segment", "data").mapInArrow(_window_digests, "gram long, segment binary, first int, digest binary")
+    windows = fetched.filter("wide").select("gram", "segment", "at", "data").repartition("segment", "at").mapInArrow(_window_digests, "gram long, segment binary, first int, digest binary")
     often = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("digest")
     wide = windows.join(often, "digest").select("gram", "segment", "first", F.col("first").alias("last"))
     alone = segments.filter("copies = 1").select("gram", "segment")
