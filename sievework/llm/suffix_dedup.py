@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stage
@@ -274,7 +274,9 @@ def repeated_spans(plain: DataFrame, group_segments: int = GROUP_SEGMENTS) -> Da
     narrow = narrow.mapInArrow(_sorted_blocks, "gram long, segment binary, first int, last int")
     windows = fetched.filter("wide").select("gram", "segment", "at", "data").repartition("segment", "at").mapInArrow(_window_digests, "gram long, segment binary, first int, digest binary")
     often = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("digest")
-    wide = windows.join(often, "digest").select("gram", "segment", "first", F.col("first").alias("last"))
+    in_order = Window.partitionBy("gram", "segment").orderBy("first")  # at most a segment's windows
+    again = windows.join(often, "digest").select("gram", "segment", "first", (F.col("first") - F.row_number().over(in_order)).alias("run"))
+    wide = again.groupBy("gram", "segment", "run").agg(F.min("first").alias("start"), F.max("first").alias("last")).select("gram", "segment", F.col("start").alias("first"), "last")
     alone = segments.filter("copies = 1").select("gram", "segment")
     partly = narrow.union(wide).join(alone, ["gram", "segment"], "left_semi")
     covered = stage(whole.union(partly), "covered")
