@@ -219,7 +219,7 @@ def passing_documents(docs: DataFrame, labels: DataFrame, threshold: float = THR
     """The rows of docs whose score is at least threshold, with the columns of docs. Rows and features are staged together,
     so that no text is shuffled and none is read twice by Python."""
     carried = stage(_carried(docs), "carried")
-    model = fit(*training_rows(carried, labels))
+    model = fit(*training_rows(carried.select("doc_id", *FEATURES), labels))
     fields = docs.schema.fields
 
     @F.pandas_udf("double")
