@@ -33,9 +33,13 @@ from .shared import Recent, stage
 CAPACITY, END_ID, UNIT = 4096, 2, 16
 MAX_ROUNDS = 6000
 RANKS_PER_TASK = 200_000
+#: Entries of a worker's memos, each held twice at most: about 250 bytes an entry, so 250 MB.
+MEMO_PARTS, MEMO_WORDS = 300_000, 200_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PLACED = _PIECES + ", sequence_id long, slot long"
 _PLAIN_PART = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]*")
+#: The byte-level alphabet's rule: bytes without a visible character stand as the code points from 256 on.
+_BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
@@ -44,28 +48,28 @@ class WordTokens:
 
     The vocabulary's words never hold white space, so the ids of a text are those of the parts between spaces and line
     feeds. A part of Latin letters, digits and signs, which normalisation only lower-cases, is cut on by the vocabulary's own
-    word pattern and its words go straight to the library's model; any other part goes through the library whole.
+    word pattern and its words go straight to the library's model, other letters as the characters that stand for their
+    bytes; any other part goes through the library whole.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
         self.model = self.tool.model
-        self.bare = Tokenizer(self.model)
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words = Recent(self._word, 200_000)
-        self.parts = Recent(self._part, 100_000)
+        self.words = Recent(self._word, MEMO_WORDS)
+        self.parts = Recent(self._part, MEMO_PARTS)
 
     def library(self, text: str) -> bytes:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(word)] if word.isascii() else self.bare.encode(word, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _part(self, part: str) -> bytes:
         if "<|" in part or not _PLAIN_PART.fullmatch(part):
