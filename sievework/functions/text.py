@@ -69,3 +69,31 @@ def html_to_text(page: Column) -> Column:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " "))
+
+
+def is_subsequence(a: Column, b: Column) -> Column:
+    """Whether the array a stands in b, in order but with gaps."""
+    matched = F.aggregate(b, F.lit(0), lambda i, x: F.when((i < F.size(a)) & (F.get(a, i) == x), i + 1).otherwise(i))
+    return matched == F.size(a)
+
+
+def outside_protected(text: Column, pattern: str) -> Column:
+    """text without what pattern matches, but with its tags and quoted titles as they are."""
+    pieces = F.regexp_extract_all(text, F.lit("<[^>]*>|«[^»]*»|[^<«]+|[<«]"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("(?s)^(<.*>|«.*»)$"), p).otherwise(F.regexp_replace(p, pattern, ""))), "")
+
+
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common substring. It grows by at most one with each further character of a."""
+    return F.aggregate(F.sequence(F.lit(1), F.length(a)), F.lit(0), lambda best, i: F.when(F.contains(b, F.substr(a, i - best, best + 1)), best + 1).otherwise(best))
+
+
+def fingerprint(text: Column) -> Column:
+    """FNV-1a, 32 bits, over the UTF-16 units of a text."""
+    units = F.flatten(
+        F.transform(
+            F.filter(F.split(text, ""), lambda c: c != ""),
+            lambda c: F.when(F.ascii(c) > 65535, F.array(55296 + F.shiftright(F.ascii(c) - 65536, 10), 56320 + (F.ascii(c) - 65536) % 1024)).otherwise(F.array(F.ascii(c))),
+        )
+    )
+    return F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, u: h.bitwiseXOR(u.cast("long")) * F.lit(16777619).cast("long") % F.lit(4294967296).cast("long"))

@@ -1 +1 @@
-from . import aggregates, gates, joins, scalars, scans, streams, windows  # noqa: F401  each registers its queries
+from . import aggregates, gates, joins, rules, scalars, scans, streams, windows  # noqa: F401  each registers its queries
