@@ -22,8 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_articles(table(spark, sf_dir, "documents"))
+
+
+def as_articles(documents: DataFrame) -> DataFrame:
+    """Batches or streams of documents with the columns that a collection run adds."""
     names = ", ".join(f"'{c}'" for c in CATEGORIES)
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         F.col("doc_id").alias("id"),
         F.expr("trim(substr(split_part(coalesce(text, ''), '\\n', 1), 1, 80))").alias("title"),
         F.coalesce("text", F.lit("")).alias("content"),
