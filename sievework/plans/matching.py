@@ -142,11 +142,11 @@ def evd_rerendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sided.groupBy("conv_id", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {ARTICLES_SQL}, t as (select id, regexp_replace(title, '\\s+', '', 'g') as a, regexp_replace(substr(content, 1, 80), '\\s+', '', 'g') as b from articles where title != '') select id, starts_with(b, a) as equal, case when not starts_with(b, a) then coalesce(list_position(list_transform(range(1, length(a) + 1), lambda i: substr(a, i, 1) != substr(b, i, 1)), true), length(a) + 1) end as differs_at from t")
+@query(f"with {ARTICLES_SQL}, t as (select id, regexp_replace(title, '\\s+', '', 'g') as a, regexp_replace(content, '\\s+', '', 'g') as b from articles where title != '') select id, starts_with(b, a) as equal, case when not starts_with(b, a) then coalesce(list_position(list_transform(range(1, length(a) + 1), lambda i: substr(a, i, 1) != substr(b, i, 1)), true), length(a) + 1) end as differs_at from t")
 def evd_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EVD-21: what was sent against what is read back, without white space, and the first place where they differ."""
     tight = lambda c: F.regexp_replace(c, r"\s+", "")
-    rows = articles(spark, sf_dir).filter("title != ''").select("id", tight(F.col("title")).alias("a"), tight(F.substring("content", 1, 80)).alias("b"))
+    rows = articles(spark, sf_dir).filter("title != ''").select("id", tight(F.col("title")).alias("a"), tight(F.col("content")).alias("b"))
     place = F.array_position(F.transform(F.when(F.length("a") > 0, F.sequence(F.lit(1), F.length("a"))).otherwise(F.array().cast("array<int>")), lambda i: F.substr("a", i, F.lit(1)) != F.substr("b", i, F.lit(1))), True)
     return rows.select("id", F.startswith("b", "a").alias("equal"), F.when(~F.startswith("b", "a"), F.when(place > 0, place).otherwise(F.length("a") + 1)).alias("differs_at"))
 
@@ -164,7 +164,8 @@ def evd_image_talk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {ARTICLES_SQL}, s as (select id, list_reverse(regexp_extract_all(content, '[^.]+[.]')) as s from articles), n as (select id, len(s) as total, least(5, coalesce(list_position(list_transform(s, lambda x: length(trim(x)) < 25), false) - 1, len(s))) as tail from s) select id, total, tail from n")
 def win_tail_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-07: how many closing sentences are noise, in at most five rounds."""
-    s = F.reverse(F.regexp_extract_all("content", F.lit("[^.]+[.]"), F.lit(0)))
+    # the end of the text ends a match too, so that a long text without full stops is read once and not from every place
+    s = F.reverse(F.filter(F.regexp_extract_all("content", F.lit("[^.]+([.]|$)"), F.lit(0)), lambda x: x.endswith(".")))
     place = F.array_position(F.transform(s, lambda x: F.length(F.trim(x)) < 25), False)
     return articles(spark, sf_dir).select("id", F.size(s).cast("long").alias("total"), F.least(F.lit(5), F.when(place > 0, place - 1).otherwise(F.size(s))).cast("long").alias("tail"))
 

@@ -12,11 +12,11 @@ from .registry import query
 _NUMBERS = "[0-9]+"
 
 
-@query(f"with {ARTICLES_SQL}, n as (select id, regexp_extract_all(title, '{_NUMBERS}') as a, regexp_extract_all(substr(content, 1, 400), '{_NUMBERS}') as b from articles), p as (select id, len(a) as na, len(b) as nb, '|' || array_to_string(a, '||') || '|' as ta, '|' || array_to_string(b, '||') || '|' as tb, '%|' || array_to_string(a, '|%|') || '|%' as pa, '%|' || array_to_string(b, '|%|') || '|%' as pb from n) select id, na > 0 and nb > 0 and not (tb like pa) and not (ta like pb) as conflict from p")
+@query(f"with {ARTICLES_SQL}, n as (select id, regexp_extract_all(title, '{_NUMBERS}') as a, regexp_extract_all(content, '{_NUMBERS}') as b from articles), p as (select id, len(a) as na, len(b) as nb, '|' || array_to_string(a, '||') || '|' as ta, '|' || array_to_string(b, '||') || '|' as tb, '%|' || array_to_string(a, '|%|') || '|%' as pa, '%|' || array_to_string(b, '|%|') || '|%' as pb from n) select id, na > 0 and nb > 0 and not (tb like pa) and not (ta like pb) as conflict from p")
 def flt_number_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-12: number lists conflict unless one is empty or an ordered subsequence of the other; a fold, not a UDF."""
     found = lambda c: F.regexp_extract_all(c, F.lit(_NUMBERS), F.lit(0))
-    rows = articles(spark, sf_dir).select("id", found(F.col("title")).alias("a"), found(F.substring("content", 1, 400)).alias("b"))
+    rows = articles(spark, sf_dir).select("id", found(F.col("title")).alias("a"), found(F.col("content")).alias("b"))
     a, b = F.col("a"), F.col("b")
     return rows.select("id", ((F.size(a) > 0) & (F.size(b) > 0) & ~is_subsequence(a, b) & ~is_subsequence(b, a)).alias("conflict"))
 
@@ -40,10 +40,10 @@ def str_mixed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PIECES = "<[^>]*>|«[^»]*»|[^<«]+|[<«]"
 
 
-@query(f"select page_id, array_to_string(list_transform(regexp_extract_all(substr(html, 1, 5000), '{_PIECES}'), lambda p: case when regexp_matches(p, '^(<.*>|«.*»)$', 's') then p else regexp_replace(p, '[(][^()]*[)]|[à-ÿ]+', '', 'g') end), '') as stripped from pages")
+@query(f"select page_id, array_to_string(list_transform(regexp_extract_all(html, '{_PIECES}'), lambda p: case when regexp_matches(p, '^(<.*>|«.*»)$', 's') then p else regexp_replace(p, '[(][^()]*[)]|[à-ÿ]+', '', 'g') end), '') as stripped from pages")
 def str_outside_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-13, STR-15: runs of a script and bracketed notes stripped, but not inside tags and quoted titles."""
-    return table(spark, sf_dir, "pages").select("page_id", outside_protected(F.substring("html", 1, 5000), "[(][^()]*[)]|[à-ÿ]+").alias("stripped"))
+    return table(spark, sf_dir, "pages").select("page_id", outside_protected(F.col("html"), "[(][^()]*[)]|[à-ÿ]+").alias("stripped"))
 
 
 @query()
@@ -55,21 +55,21 @@ def str_doubled_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TIGHT = "regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 
 
-@query(f"with {ARTICLES_SQL}, t as (select id, {_TIGHT.format(x='title')} as a, {_TIGHT.format(x='substr(content, 1, 60)')} as b from articles) select id, a = b or (least(length(a), length(b)) >= 8 and (contains(a, b) or contains(b, a))) as same_title, (length(a) >= 8 and left(a, 8) = left(b, 8)) or (length(a) >= 6 and right(a, 6) = right(b, 6)) as shares_enough from t")
+@query(f"with {ARTICLES_SQL}, t as (select id, {_TIGHT.format(x='title')} as a, {_TIGHT.format(x='content')} as b from articles) select id, a = b or (least(length(a), length(b)) >= 8 and (contains(a, b) or contains(b, a))) as same_title, (length(a) >= 8 and left(a, 8) = left(b, 8)) or (length(a) >= 6 and right(a, 6) = right(b, 6)) as shares_enough from t")
 def str_same_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-17: titles that are equal, contain each other, or share an end."""
     tight = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
-    rows = articles(spark, sf_dir).select("id", tight(F.col("title")).alias("a"), tight(F.substring("content", 1, 60)).alias("b"))
+    rows = articles(spark, sf_dir).select("id", tight(F.col("title")).alias("a"), tight(F.col("content")).alias("b"))
     return rows.selectExpr("id", "a = b or (least(length(a), length(b)) >= 8 and (contains(a, b) or contains(b, a))) as same_title", "(length(a) >= 8 and left(a, 8) = left(b, 8)) or (length(a) >= 6 and right(a, 6) = right(b, 6)) as shares_enough")
 
 
-@query(f"""with {ARTICLES_SQL}, t as (select id, title as a, substr(content, 100, 100) as b from articles where length(title) > 0),
+@query(f"""with {ARTICLES_SQL}, t as (select id, title as a, substr(content, length(title) + 1) as b from articles where length(title) > 0),
 s as (select id, b, a, unnest(range(1, length(a) + 1)) as i from t), u as (select id, b, substr(a, i, unnest(range(1, length(a) - i + 2))) as part from s)
 select t.id, coalesce(max(length(part)) filter (where contains(u.b, part)), 0) as n_common from t left join u using (id) group by t.id""")
 def str_common_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-18: length of the longest common substring, one containment test for each end position."""
     rows = articles(spark, sf_dir).filter(F.length("title") > 0)
-    return rows.select("id", common_length(F.col("title"), F.substring("content", 100, 100)).cast("long").alias("n_common"))
+    return rows.select("id", common_length(F.col("title"), F.expr("substr(content, length(title) + 1)")).cast("long").alias("n_common"))
 
 
 _FNV_SQL = "list_reduce(list_prepend(2166136261::bigint, list_transform(string_split({x}, ''), lambda c: unicode(c)::bigint)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"

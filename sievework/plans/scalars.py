@@ -78,7 +78,8 @@ _SENTENCE = "[^.!?]+[.!?]"
 @query(f"with {ARTICLES_SQL}, s as (select id, unnest(regexp_extract_all(content, '{_SENTENCE}')) as s, generate_subscripts(regexp_extract_all(content, '{_SENTENCE}'), 1) as pos from articles), k as (select id, regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]', '', 'g') as k, pos from s), f as (select id, k, min(pos) as first, count(*) as n from k where length(k) >= 10 group by all) select id, count(*) as sentences, cast(sum(n - 1) as bigint) as repeated from f group by id")
 def str_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-07, STR-14, WIN-06: sentences by key, the first of each kept; how many are repeats."""
-    s = articles(spark, sf_dir).select("id", F.explode(F.regexp_extract_all("content", F.lit(_SENTENCE), F.lit(0))).alias("s"))
+    # the end of the text ends a match too, so that a long text without signs is read once and not from every place
+    s = articles(spark, sf_dir).select("id", F.explode(F.regexp_extract_all("content", F.lit("[^.!?]+([.!?]|$)"), F.lit(0))).alias("s")).filter(F.right("s", F.lit(1)).isin(".", "!", "?"))
     keyed = s.select("id", F.regexp_replace(F.lower("s"), r"[^\p{L}\p{N}]", "").alias("k")).filter(F.length("k") >= 10)
     return keyed.groupBy("id", "k").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.col("n") - 1).alias("repeated"))
 
