@@ -1,12 +1,13 @@
 """HTML main-text extraction with a recurrent block labeller (operator 5).
 
 A page is cut into its leaf blocks, in order. Each block becomes a sparse vector: hashed tags, classes and ids of its path,
-hashed words, and a few numbers. A bidirectional LSTM in numpy reads the whole sequence and labels every block as article text
-or not, so that a block is judged by what stands around it. Blocks labelled as text are joined.
+all of its words hashed and counted, and a few numbers. A bidirectional LSTM in numpy reads the whole sequence and labels
+every block as article text or not, so that a block is judged by what stands around it. Blocks labelled as text are joined.
 
 The network is trained here, on pages laid out at random (menus, notices, adverts, sidebars, forms, reader comments, footers,
-with and without semantic tags) that borrow their words from a bounded sample of SAMPLE_PAGES pages with the least hash of
-page_id, and on those pages themselves, labelled by their tags. It is fitted on the driver in a fixed number of steps.
+with and without semantic tags or telling classes) that borrow their words from a bounded sample of SAMPLE_PAGES pages with
+the least hash of page_id, and on those of these pages whose tags mark an article, labelled by their tags. It is fitted on the
+driver in a fixed number of steps.
 
 Defined cases: a null, empty or blank html has an empty text; markup that ends early or is never closed is read as far as it
 goes; repeated rows are extracted alike; null ids and urls are kept; other columns are ignored; an empty table gives no rows.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,9 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Recent
+
 SAMPLE_PAGES, STEPS, BATCH, TRAIN_BLOCKS = 64, 260, 24, 80
-FEATURES, HIDDEN, NUMBERS = 512, 20, 6
-PATH_SHARE = 384
+PLAIN_SHARE = 0.35
+PATH_SHARE, WORD_SHARE, HIDDEN, NUMBERS = 384, 1024, 20, 6
+FEATURES = PATH_SHARE + WORD_SHARE
+#: Blocks whose vectors are added up at once: at most FEATURES places each.
+PROJECTED = 256
 #: Fixed values of HTML: elements that break lines, that have no text, that have no end, and that hold raw text.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 DROPPED_TAGS = frozenset("script style noscript template svg textarea iframe object canvas head title button select".split())
@@ -143,18 +150,27 @@ def _bucket(name: str, low: int, high: int) -> int:
 
 
 _DIGITS = re.compile(r"\d")
-_FIXED_WORDS = frozenset("© copyright cookie cookies privacy login subscribe newsletter advertisement sponsored share reply comments comment posted related menu home contact rights reserved".split())
+_EDGES = ".,:;!?¡¿()[]{}<>\"'“”„‘’«»…·|*-–—"
+
+
+def _word_place(word: str) -> int:
+    return PATH_SHARE + zlib.crc32((word.strip(_EDGES) or word).encode(errors="replace")) % WORD_SHARE
+
 
+_WORDS = Recent(_word_place, 200_000)
 
-def block_vector(block: Block) -> tuple[list[int], list[float]]:
-    """(hashed path and word places, numbers)."""
+
+def block_vector(block: Block) -> tuple[list[int], list[float], list[float]]:
+    """(hashed path and word places, their weights, numbers). Every word of the block counts; a word place weighs its count by
+    the root of the number of words."""
     spots = {_bucket("/" + n, 0, PATH_SHARE) for n in block.path}
     if block.path:
         spots.add(_bucket(">" + "/".join(n for n in block.path[-3:]), 0, PATH_SHARE))
     words = block.text.lower().split()
-    spots |= {_bucket("w" + w.strip(".,:;!?"), PATH_SHARE, FEATURES) for w in words[:12] if w.strip(".,:;!?") in _FIXED_WORDS}
     n = len(words)
-    return sorted(spots), [min(1.0, np.log1p(n) / 6), block.linked, min(1.0, 8 * len(_DIGITS.findall(block.text)) / max(1, len(block.text))), float(block.text[-1] in ".!?…\"”"), float(block.text[0].isupper()), 1.0]
+    counts = Counter(map(_WORDS.__getitem__, words))
+    root = max(1, n) ** 0.5
+    return [*spots, *counts], [1.0] * len(spots) + [c / root for c in counts.values()], [min(1.0, np.log1p(n) / 6), block.linked, min(1.0, 8 * len(_DIGITS.findall(block.text)) / max(1, len(block.text))), float(block.text[-1] in ".!?…\"”"), float(block.text[0].isupper()), 1.0]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -169,21 +185,24 @@ class BlockNetwork:
         make = lambda *s: (rng.standard_normal(s) * 0.15).astype(np.float32)
         self.p = {"out": make(2 * HIDDEN), "bias": np.zeros(1, dtype=np.float32)}
         for d in "fb":
-            self.p |= {f"{d}s": make(FEATURES, 4 * HIDDEN), f"{d}n": make(NUMBERS, 4 * HIDDEN), f"{d}h": make(HIDDEN, 4 * HIDDEN)}
+            self.p |= {f"{d}s": np.concatenate([make(PATH_SHARE, 4 * HIDDEN), np.zeros((WORD_SHARE, 4 * HIDDEN), np.float32)]), f"{d}n": make(NUMBERS, 4 * HIDDEN), f"{d}h": make(HIDDEN, 4 * HIDDEN)}
 
-    def inputs(self, pages: list[list[tuple[list[int], list[float]]]]) -> tuple[np.ndarray, ...]:
+    def inputs(self, pages: list[list[tuple[list[int], list[float], list[float]]]]) -> tuple[np.ndarray, ...]:
         """Flat block inputs and each page's length."""
         blocks = [b for page in pages for b in page]
-        sizes = np.array([len(s) for s, _ in blocks], dtype=np.int64)
-        spots = np.array([x for s, _ in blocks for x in s], dtype=np.int64)
-        numbers = np.array([n for _, n in blocks], dtype=np.float32).reshape(-1, NUMBERS)
-        return spots, sizes, numbers, np.array([len(p) for p in pages], dtype=np.int64)
+        sizes = np.array([len(s) for s, _, _ in blocks], dtype=np.int64)
+        spots = np.array([x for s, _, _ in blocks for x in s], dtype=np.int64)
+        weights = np.array([x for _, w, _ in blocks for x in w], dtype=np.float32)
+        numbers = np.array([n for _, _, n in blocks], dtype=np.float32).reshape(-1, NUMBERS)
+        return spots, weights, sizes, numbers, np.array([len(p) for p in pages], dtype=np.int64)
 
-    def _projected(self, d: str, spots: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    def _projected(self, d: str, spots: np.ndarray, weights: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         out = numbers @ self.p[d + "n"]
-        if len(spots):
-            full = np.flatnonzero(sizes)
-            out[full] += np.add.reduceat(self.p[d + "s"][spots], (np.cumsum(sizes) - sizes)[full], axis=0)
+        full, ends = np.flatnonzero(sizes), np.cumsum(sizes)
+        for at in range(0, len(full), PROJECTED):
+            part = full[at : at + PROJECTED]
+            low, high = ends[part[0]] - sizes[part[0]], ends[part[-1]]
+            out[part] += np.add.reduceat(self.p[d + "s"][spots[low:high]] * weights[low:high, None], ends[part] - sizes[part] - low, axis=0)
         return out
 
     def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
@@ -210,25 +229,27 @@ class BlockNetwork:
         return np.where(mask, first + t, 0), np.where(mask, first + lengths[:, None] - 1 - t, 0), mask
 
     def logits(self, pages: list, keep: bool = False):
-        spots, sizes, numbers, lengths = self.inputs(pages)
+        spots, weights, sizes, numbers, lengths = self.inputs(pages)
         ahead, back, mask = self._grid(lengths)
         state = {}
         total = np.full(len(numbers), self.p["bias"][0], dtype=np.float32)
         for k, (d, grid) in enumerate((("f", ahead), ("b", back))):
-            out, kept = self._run(d, self._projected(d, spots, sizes, numbers)[grid], mask, keep)
+            out, kept = self._run(d, self._projected(d, spots, weights, sizes, numbers)[grid], mask, keep)
             flat = np.zeros((len(numbers), HIDDEN), np.float32)
             flat[grid[mask]] = out[mask]
             total += flat @ self.p["out"][k * HIDDEN : (k + 1) * HIDDEN]
             state[d] = (grid, kept, flat)
-        return total, (spots, sizes, numbers, mask, state)
+        return total, (spots, weights, sizes, numbers, mask, state)
 
     def gradients(self, pages: list, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        total, (spots, sizes, numbers, mask, state) = self.logits(pages, keep=True)
+        total, (spots, weights, sizes, numbers, mask, state) = self.logits(pages, keep=True)
         p = _sigmoid(total)
         loss = float(-np.mean(np.log(np.where(labels > 0, p, 1 - p) + 1e-9)))
         up = ((p - labels) / len(labels)).astype(np.float32)
         grads = {"bias": np.array([up.sum()], np.float32), "out": np.concatenate([state["f"][2].T @ up, state["b"][2].T @ up])}
-        owner = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(spots, kind="stable")
+        owner, scaled = np.repeat(np.arange(len(sizes)), sizes)[order], weights[order, None]
+        used, begins = np.unique(spots[order], return_index=True)
         for k, d in enumerate("fb"):
             grid, kept, _ = state[d]
             weight, dh, dc = self.p[d + "h"], 0, 0
@@ -246,7 +267,8 @@ class BlockNetwork:
                 dh = np.where(m, dz @ weight.T, dh)
             grads[d + "h"], grads[d + "n"] = d_w, numbers.T @ d_in
             grads[d + "s"] = np.zeros_like(self.p[d + "s"])
-            np.add.at(grads[d + "s"], spots, d_in[owner])
+            if len(used):
+                grads[d + "s"][used] = np.add.reduceat(d_in[owner] * scaled, begins, axis=0)
         return loss, grads
 
     def train(self, draw, steps: int, rate: float = 0.02) -> float:
@@ -269,8 +291,53 @@ def teacher_label(block: Block) -> float:
     return float(bool(names & {"article", "main"}) and not names & outside)
 
 
+#: What notices, adverts, footers and prompts of random pages say; their words are learnt from these and from the sample.
+NOTICES = (
+    "We use cookies to improve this site|Accept all cookies|Copyright, all rights reserved|Subscribe to our newsletter|Advertisement|Sponsored content by our partners|Privacy policy and terms of use|Share this page|Log in to post a comment|Related articles|Contact us|Sign up today|Leave a reply",
+    "Wir verwenden Cookies, um diese Seite zu verbessern|Alle Cookies akzeptieren|Copyright, alle Rechte vorbehalten|Abonnieren Sie unseren Newsletter|Anzeige|Werbung unserer Partner|Datenschutz, Impressum und Nutzungsbedingungen|Diese Seite teilen|Melden Sie sich an, um zu kommentieren|Verwandte Artikel|Kontakt|Jetzt registrieren|Kommentar schreiben",
+    "Utilizamos cookies para mejorar este sitio|Aceptar todas las cookies|Copyright, todos los derechos reservados|Suscríbase a nuestro boletín|Publicidad|Contenido patrocinado por nuestros socios|Política de privacidad y aviso legal|Compartir esta página|Inicie sesión para comentar|Artículos relacionados|Contacto|Regístrese hoy|Deje un comentario",
+    "Nous utilisons des cookies pour améliorer ce site|Accepter tous les cookies|Copyright, tous droits réservés|Abonnez-vous à notre lettre d'information|Publicité|Contenu sponsorisé par nos partenaires|Politique de confidentialité et mentions légales|Partager cette page|Connectez-vous pour commenter|Articles similaires|Nous contacter|Inscrivez-vous|Laisser un commentaire",
+)
+
+
+def plain_page(rng: np.random.Generator, lines: list[str]) -> list[tuple[Block, float]]:
+    """A page whose tags and classes tell nothing: article text and, anywhere in its blocks' words, notices among it. Some
+    pages have invented words, so that words not met in training tell nothing."""
+    invented = rng.random() < 0.4
+
+    def pick(words: int) -> str:
+        found = lines[int(rng.integers(len(lines)))].split() or ["x"]
+        at = int(rng.integers(max(1, len(found) - words + 1)))
+        found = found[at : at + words]
+        return " ".join(f"v{x}" for x in rng.integers(0, 10**6, len(found))).capitalize() + "." if invented else " ".join(found)
+
+    says = NOTICES[int(rng.integers(len(NOTICES)))].split("|")
+    wrap = [(), ("div",), ("div", "div"), ("section",), ("table", "tr", "td")][int(rng.integers(5))]
+    kinds = [("p",), ("div",), ("div", "p")]
+    kind = kinds[int(rng.integers(3))]
+    out: list[tuple[Block, float]] = []
+
+    def notice() -> None:
+        said = ". ".join(says[int(rng.integers(len(says)))] for _ in range(int(rng.integers(1, 4))))
+        parts = [pick(int(rng.integers(1, 40))) if rng.random() < 0.5 else "", said, pick(int(rng.integers(1, 20))) if rng.random() < 0.3 else ""]
+        own = kind if rng.random() < 0.7 else kinds[int(rng.integers(3))]
+        out.append((Block(("html", "body", *wrap, *own), " ".join(x for x in parts if x) + ("." if rng.random() < 0.7 else ""), 0.0), 0.0))
+
+    for _ in range(int(rng.integers(0, 3))):
+        notice()
+    for _ in range(int(rng.integers(1, 12))):
+        if rng.random() < 0.15:
+            notice()
+        out.append((Block(("html", "body", *wrap, *kind), pick(int(rng.integers(2, 80))), 0.0), 1.0))
+    for _ in range(int(rng.integers(0, 4))):
+        notice()
+    return out
+
+
 def random_page(rng: np.random.Generator, lines: list[str]) -> list[tuple[Block, float]]:
     """A page laid out at random, as blocks with labels."""
+    if rng.random() < PLAIN_SHARE:
+        return plain_page(rng, lines)
     pick = lambda words: " ".join(lines[int(rng.integers(len(lines)))].split()[:words]) or "x"
     one = lambda *names: names[int(rng.integers(len(names)))]
     some = lambda low, high: range(int(rng.integers(low, high)))
@@ -333,8 +400,10 @@ def fit_labeller(sample: list[str], steps: int = STEPS) -> BlockNetwork:
     """A network fitted on random layouts and the sample's own pages."""
     rng = np.random.default_rng(5)
     own = [[(b, teacher_label(b)) for b in leaf_blocks(page)] for page in sample]
+    told = [(b.text, y) for page in own for b, y in page]
+    lines = ([t for t, y in told if y] or [t for t, _ in told])[:3000] or ["Some words of a line.", "Another short line of words"]
+    own = [page for page in own if any(y for _, y in page)]  # else the tags tell nothing
     own = [page[at : at + TRAIN_BLOCKS] for page in own for at in range(0, min(len(page), 5 * TRAIN_BLOCKS), TRAIN_BLOCKS)]
-    lines = [b.text for page in own for b, _ in page][:3000] or ["Some words of a line.", "Another short line of words"]
     network = BlockNetwork()
 
     def draw(_: int):

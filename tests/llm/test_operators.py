@@ -161,3 +161,30 @@ def test_pipeline(spark):
         if k == 2:
             assert new.count() == minhash_join.near_duplicates(docs).filter("kept").count()
         docs = new
+
+
+NOTICES_AFTER = {
+    "en": "Copyright by the owner of this page, all rights reserved, subscribe to our newsletter.",
+    "de": "Wir verwenden Cookies auf dieser Seite, alle Rechte vorbehalten, Datenschutz und Impressum.",
+    "es": "Utilizamos cookies en esta página, todos los derechos reservados, suscríbase al boletín.",
+    "fr": "Nous utilisons des cookies sur cette page, tous droits réservés, abonnez-vous, mentions légales.",
+}
+
+
+def test_labeller_reads_all_words_of_neutral_markup(spark):
+    plain = ("html", "body", "div", "p")
+    lead = " ".join(f"word{i}" for i in range(15))
+    far, other = (block_labeller.block_vector(block_labeller.Block(plain, f"{lead} {w}.", 0.0)) for w in ("cookies", "gardens"))
+    assert far != other
+    html = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").orderBy("page_id").collect()]
+    network = block_labeller.fit_labeller(html)
+    blocks = [b for page in html for b in block_labeller.leaf_blocks(page) if block_labeller.teacher_label(b) and 20 < len(b.text.split()) < 60]
+    right = total = 0
+    for k, (lang, notice) in enumerate([*NOTICES_AFTER.items()] * 10):
+        article = [b.text for b in blocks[4 * k : 4 * k + 4]]
+        lead = " ".join(blocks[-1 - k].text.split()[:13])
+        page = "<html><body>" + "".join(f"<div><p>{t}</p></div>" for t in [*article, f"{lead} {notice}"]) + "</body></html>"
+        got = block_labeller.main_texts(network, [page])[0].split("\n")
+        assert not any(notice in t for t in got), lang
+        right, total = right + sum(t in got for t in article), total + len(article)
+    assert right >= 0.95 * total
