@@ -43,6 +43,8 @@ RAW_TAGS = frozenset("script style textarea title noscript iframe".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|itemprop|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
+HEAD_TAGS = frozenset("base basefont bgsound link meta title noscript noframes style script template html head".split())
+_MAY_STAY_OPEN = re.compile(r"<(?:button|select|svg|object|canvas|template)\b", re.I)
 _ENDS_P = BLOCK_TAGS - {"body", "html", "head"}
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW_TAGS}
 
@@ -56,10 +58,33 @@ class Block:
     linked: float
 
 
+def unclosed_starts(page: str) -> set[int]:
+    """Where start tags end whose elements have no text of their own and never get an end tag."""
+    if not _MAY_STAY_OPEN.search(page):
+        return set()
+    waiting: dict[str, list[int]] = {t: [] for t in DROPPED_TAGS - RAW_TAGS - {"head"}}
+    at = 0
+    while found := _TOKEN.search(page, at):
+        at, tag = found.end(), (found[2] or "").lower()
+        if tag in waiting:
+            if not found[1] and not found[3].endswith("/"):
+                waiting[tag].append(at)
+            elif found[1] and waiting[tag]:
+                waiting[tag].pop()
+        elif tag in RAW_TAGS and not found[1] and not found[3].endswith("/"):
+            raw = _RAW_END[tag].search(page, at)
+            at = raw.end() if raw else len(page)
+    return {x for places in waiting.values() for x in places}
+
+
 def leaf_blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order; text outside block elements is a block of its own."""
+    """The text blocks of a page in order; text outside block elements is a block of its own.
+
+    What can't stand in a head ends an open head, and a block element ends an open button, select, svg, object, canvas or
+    template that has no end tag."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], bool]] = []  # the last: dropped, but without an end tag
+    unclosed = unclosed_starts(page)
     path: tuple[str, ...] = ()
     parts: list[str] = []
     linked = dropped = links = 0
@@ -75,16 +100,18 @@ def leaf_blocks(page: str) -> list[Block]:
 
     def leave(k: int) -> None:
         nonlocal path, dropped, links
-        for tag, _ in stack[k:]:
+        for tag, _, _ in stack[k:]:
             dropped -= tag in DROPPED_TAGS
             links -= tag == "a"
         del stack[k:]
-        path = tuple(n for _, names in stack for n in names)
+        path = tuple(n for _, names, _ in stack for n in names)
 
     at = 0
     while at < len(page):
         found = _TOKEN.search(page, at)
         end = found.start() if found else len(page)
+        if end > at and dropped and stack[-1][0] == "head" and page[at:end].strip():
+            leave(len(stack) - 1)
         if end > at and not dropped:
             parts.append(page[at:end])
             linked += links and len(page[at:end].strip())
@@ -104,6 +131,14 @@ def leaf_blocks(page: str) -> list[Block]:
                 if tag not in BLOCK_TAGS and stack[k][0] in BLOCK_TAGS:
                     break  # an inline end tag doesn't close the block around it
             continue
+        if unclosed and tag in BLOCK_TAGS and tag != "option":
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][2]:
+                    leave(k)
+                elif stack[k][0] in DROPPED_TAGS:
+                    break
+        if tag not in HEAD_TAGS and stack and stack[-1][0] == "head":
+            leave(len(stack) - 1)
         if tag in BLOCK_TAGS:
             flush()
             for k in range(len(stack) - 1, -1, -1):
@@ -129,7 +164,7 @@ def leaf_blocks(page: str) -> list[Block]:
             raw = _RAW_END[tag].search(page, at)
             at = raw.end() if raw else len(page)
             continue
-        stack.append((tag, tuple(names)))
+        stack.append((tag, tuple(names), at in unclosed))
         dropped += tag in DROPPED_TAGS
         links += tag == "a"
         path = path + tuple(names)

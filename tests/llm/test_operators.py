@@ -188,3 +188,18 @@ def test_labeller_reads_all_words_of_neutral_markup(spark):
         assert not any(notice in t for t in got), lang
         right, total = right + sum(t in got for t in article), total + len(article)
     assert right >= 0.95 * total
+
+
+def test_unclosed_markup_keeps_the_text_after_it():
+    texts = lambda page: [b.text for b in block_labeller.leaf_blocks(page)]
+    head = "<html><head><meta charset=utf-8><title>Name</title><style>p{}</style>"
+    for start in ("<body>", "", "<body><main>", "</head><body>", "<span>Lead</span>", "Lead"):
+        assert texts(f"{head}{start}<p>One.<p>Two.</p></body></html>")[-2:] == ["One.", "Two."], start
+        assert "Lead" not in start or texts(f"{head}{start}<p>One.<p>Two.")[0] == "Lead"
+    assert texts("<head><title>Name</title><template><div>Inert</div></template><p>One.") == ["One."]
+    for tag in ("button", "select", "svg", "object", "canvas", "template"):
+        assert texts(f"<body><{tag}>Gone<p>One.</p><div>Two.</div>") == ["One.", "Two."], tag
+        assert texts(f"<body><div><{tag}>Gone<b>x<p>One.</p></div><{tag}><div>In</div></{tag}><p>Two.</p>") == ["One.", "Two."], tag
+        assert texts(f"<body><{tag}><{tag}>a</{tag}><div>In</div></{tag}><p>Two.") == ["Two."], tag
+    assert texts("<select><option>a<option>b<p>One.") == ["One."]
+    assert texts("<body><button>Go<!-- </button> --><p>One.</p>") == ["One."]
