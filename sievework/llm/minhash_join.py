@@ -16,7 +16,8 @@ A pair at similarity 0.75 has fewer than THRESHOLD of its COORDINATES values in
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing and keep their doc_id as component_id; fewer
 than five words count as one shingle; rows that repeat a doc_id are one document if their sets are equal and are linked by
-their sets otherwise; a null doc_id ranks above all others; other columns are ignored; an empty table gives no rows.
+their sets otherwise; a null doc_id ranks above all others; of a component whose ids are all null one text is kept, that with
+the least digests, and component_id is null; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,7 +42,9 @@ BIT_WORDS = 16
 _RNG = np.random.default_rng(7)
 _FACTORS = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SKETCH = "doc_id long, n_shingles long, node binary, keys array<long>"
+_SKETCH = "doc_id long, text_hash string, n_shingles long, node binary, keys array<long>"
+#: Tells rows without an id apart.
+_TEXT_HASH = "case when doc_id is null then md5(cast(coalesce(cast(text as string), '') as binary)) end"
 
 
 @lru_cache(maxsize=1)
@@ -88,14 +91,14 @@ def parity_bits(shingles: np.ndarray) -> np.ndarray:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, nodes, keys = [], [], []
-        for value in batch.column(1):
+        for value in batch.column(2):
             shingles = shingle_set(value.as_py() or "")
             counts.append(len(shingles))
             nodes.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
             keys.append(signature_keys(shingles) if len(shingles) else np.zeros(0, dtype=np.int64))
         offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
         listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.zeros(0, dtype=np.int64)])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), listed], names=["doc_id", "n_shingles", "node", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), listed], names=["doc_id", "text_hash", "n_shingles", "node", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +116,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _plain(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(_TEXT_HASH).alias("text_hash"), F.col("text").cast("string").alias("text"))
 
 
 def prefix_posts(classes: DataFrame) -> DataFrame:
@@ -192,27 +195,37 @@ def links_between_classes(classes: DataFrame, sets_of) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
+def _placed_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash (of rows without an id), n_shingles, component_id, kept for every row of docs."""
     plain = _plain(docs)
     sketch = stage(plain.mapInArrow(_sketches, _SKETCH), "sketch")
-    classes = sketch.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min_by("keys", "doc_id").alias("keys"))
-    classes = stage(classes.withColumn("keys", F.coalesce("keys", F.expr("cast(array() as array<long>)"))), "classes")
+    # a class's rows have equal keys; first_hash finds the text of a class without ids
+    classes = sketch.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.expr("case when min(doc_id) is null then min(text_hash) end").alias("first_hash"), F.first("keys").alias("keys"))
+    classes = stage(classes, "classes")
 
     def sets_of(few: DataFrame) -> DataFrame:
-        wanted = few.select("first_id", "node")
-        return wanted.join(plain, F.col("first_id").eqNullSafe(F.col("doc_id"))).select("node", "text").mapInArrow(_sets, "node binary, shingles array<long>, bits array<long>").dropDuplicates(["node"])
+        wanted = few.select("first_id", "first_hash", "node")
+        met = F.col("first_id").eqNullSafe(F.col("doc_id")) & F.col("first_hash").eqNullSafe(F.col("text_hash"))
+        return wanted.join(plain, met).select("node", "text").mapInArrow(_sets, "node binary, shingles array<long>, bits array<long>").dropDuplicates(["node"])
 
     labels = links_between_classes(classes, sets_of)
     lowest = classes.select("node", "first_id").join(labels, "node")
-    lowest = lowest.join(lowest.groupBy("comp").agg(F.min("first_id").alias("component_id")), "comp").select("node", "component_id")
-    by_class = classes.select("node", "first_id").join(lowest, "node", "left").select(F.col("node").alias("place"), F.coalesce("component_id", "first_id").alias("component_id"))
-    placed = sketch.select("doc_id", "n_shingles", F.coalesce("node", F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "utf-8")).alias("place"))
-    out = placed.join(by_class, "place", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.expr("doc_id <=> component_id"))
+    lowest = lowest.join(lowest.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.min("node").alias("main")), "comp").select("node", "component_id", "main")
+    by_class = classes.select("node", "first_id", "first_hash").join(lowest, "node", "left").select(F.col("node").alias("place"), F.coalesce("component_id", "first_id").alias("component_id"), F.expr("case when coalesce(main, node) = node then first_hash end").alias("kept_hash"))
+    placed = sketch.select("doc_id", "text_hash", "n_shingles", F.coalesce("node", F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "utf-8")).alias("place"))
+    out = placed.join(by_class, "place", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "kept_hash")
+    kept = F.expr("doc_id <=> component_id and (doc_id is not null or n_shingles = 0 or text_hash <=> kept_hash)")
+    return out.withColumn("kept", kept).drop("kept_hash")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs."""
+    return _placed_rows(docs).drop("text_hash")
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, the one with the least doc_id; rows that repeat that doc_id stay with it."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """docs with one document of each component, the one with the least doc_id; rows that repeat that doc_id stay with it, and
+    rows without ids stay or go by their text."""
+    gone = _placed_rows(docs).filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct()
+    met = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & F.expr(_TEXT_HASH).eqNullSafe(F.col("_gone_text"))
+    return docs.join(gone, met, "left_anti")

@@ -203,3 +203,23 @@ def test_unclosed_markup_keeps_the_text_after_it():
         assert texts(f"<body><{tag}><{tag}>a</{tag}><div>In</div></{tag}><p>Two.") == ["Two."], tag
     assert texts("<select><option>a<option>b<p>One.") == ["One."]
     assert texts("<body><button>Go<!-- </button> --><p>One.</p>") == ["One."]
+
+
+def test_near_dedup_links_rows_without_ids(spark):
+    near = lambda *gone: " ".join(w for i, w in enumerate(WORDS[:400]) if i not in gone)
+    chain = lambda lo: " ".join(WORDS[1000 + lo : 1400 + lo])
+    other = lambda *gone: " ".join(w for i, w in enumerate(WORDS[2000:2400]) if i not in gone)
+    rows = [(21, near()), (None, near(7)), (31, chain(0)), (None, chain(50)), (32, chain(100)), (None, other()), (None, other(9)), (None, "alone and without any id at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = lambda t: set(zip(*(t.split()[k:] for k in range(5)), strict=False))
+    like = lambda a, b: len(plain(a) & plain(b)) / len(plain(a) | plain(b))
+    assert like(chain(0), chain(50)) >= 0.75 > like(chain(0), chain(100))
+    size = lambda t: len(plain(t))
+    got = minhash_join.near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got if r.n_shingles not in (size(other()), size(other(9))) or r.component_id) == Counter(
+        [(21, 396, 21, True), (None, size(near(7)), 21, False), (31, 396, 31, True), (None, 396, 31, False), (32, 396, 31, False), (None, 3, None, True)]
+    )
+    assert sum(r.kept for r in got if r.doc_id is None) == 2  # one of other and other(9), and the text alone
+    left = Counter((r.doc_id, r.text) for r in minhash_join.without_near_copies(docs).collect())
+    alone = (None, "alone and without any id at all")
+    assert left in [Counter([(21, near()), (31, chain(0)), alone, (None, t)]) for t in (other(), other(9))]
