@@ -25,8 +25,9 @@ def similar_pairs(rows: DataFrame, floor: float) -> DataFrame:
     Two sets of n and m grams with a Jaccard similarity of floor share one of the n - ceil(floor * n) + 1 rarest grams of
     either, so only those are posted. Titles that are equal once normalised are one class: they are joined to its least id.
     """
-    classes = rows.withColumn("norm", normalized(F.col("title"))).groupBy("block", "norm").agg(F.min("id").alias("a"), F.collect_set("id").alias("ids"))
-    grams = classes.filter("norm != ''").select(F.col("a").alias("id"), "block", bigrams(F.col("norm")).alias("grams"))
+    titled = rows.select("id", "block", normalized(F.col("title")).alias("norm")).filter("norm != ''")
+    classes = titled.groupBy("block", "norm").agg(F.min("id").alias("a"))
+    grams = classes.select(F.col("a").alias("id"), "block", bigrams(F.col("norm")).alias("grams"))
     posts = grams.select("id", "block", F.explode("grams").alias("gram"))
     often = posts.groupBy("block", "gram").agg(F.count(F.lit(1)).alias("often"))
     ordered = posts.join(often, ["block", "gram"]).groupBy("id").agg(F.first("block").alias("block"), F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("g"))
@@ -35,7 +36,8 @@ def similar_pairs(rows: DataFrame, floor: float) -> DataFrame:
     met = left.join(right, ["block", "gram"]).filter(f"a < b and n_a >= {floor} * n_b and n_b >= {floor} * n_a").select("a", "b").distinct()
     full = met.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("g_a")), "a").join(grams.select(F.col("id").alias("b"), F.col("grams").alias("g_b")), "b")
     near = full.select("a", "b", jaccard(F.col("g_a"), F.col("g_b")).alias("sim")).filter(F.col("sim") >= floor)
-    same = classes.filter("norm != ''").select("a", F.explode("ids").alias("b")).filter("a < b").withColumn("sim", F.lit(1.0))
+    least = classes.select(F.col("block").alias("block_a"), F.col("norm").alias("norm_a"), "a")
+    same = titled.join(least, F.col("block").eqNullSafe(F.col("block_a")) & (F.col("norm") == F.col("norm_a"))).filter("a < id").select("a", F.col("id").alias("b")).distinct().withColumn("sim", F.lit(1.0))
     return near.unionByName(same)
 
 

@@ -28,3 +28,10 @@ def test_empty_tables(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert first_seen(spark.createDataFrame([], "id long, u string"), ["u"]).count() == 0
     assert similar_pairs(spark.createDataFrame([], "id long, block string, title string"), 0.9).count() == 0
+
+
+def test_similar_pairs_gathers_no_title(spark):
+    rows = [(3, "a", "One title of many"), (1, "a", "One title of many"), (2, "a", "one  title of many"), (2, "a", "One title of many"), (4, "b", "One title of many"), (5, "a", ""), (6, "a", " "), (7, "a", None), (8, None, "No block"), (9, None, "No block")]
+    pairs = similar_pairs(spark.createDataFrame(rows, "id long, block string, title string"), 0.9)
+    assert sorted((r.a, r.b, r.sim) for r in pairs.collect()) == [(1, 2, 1.0), (1, 3, 1.0), (8, 9, 1.0)]
+    assert "collect_set" not in pairs._jdf.queryExecution().optimizedPlan().toString()
