@@ -59,7 +59,7 @@ g as (select id, {GRAMS_SQL.format(x='t')} as g from c where length(replace(t, '
 p as (select id, item_id, len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) as sim from g, h)
 select id, item_id, round(sim, 9) as sim from p where sim >= 0.3 qualify row_number() over (partition by id order by sim desc, item_id) = 1""")
 def jn_best_published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-06, JN-07, EV-12, FLT-17: for each row the best title published before, if it reaches a floor.
+    """JN-07, EV-12, FLT-17 and a part of JN-06 (one best item, not all pairs between countries): for each row the best title published before, if it reaches a floor.
 
     The published titles are met by their grams, so that only pairs with something in common are counted.
     """

@@ -139,7 +139,11 @@ BODY_FLOOR, BODY_CHARS = 60, 6000
 
 @query(f"with t as (select page_id, {_PLAIN_SQL.format(x=f"regexp_extract(html, '{_ARTICLE}', 1)")} as a, {_PLAIN_SQL.format(x=f"array_to_string(regexp_extract_all(html, '{_PARAGRAPH}', 1), ' ')")} as p from (select page_id, coalesce(html, '') as html from pages)) select page_id, case when length(a) >= {BODY_FLOOR} then 'container' when length(p) >= {BODY_FLOOR} then 'paragraphs' end as via, substr(case when length(a) >= {BODY_FLOOR} then a when length(p) >= {BODY_FLOOR} then p end, 1, {BODY_CHARS}) as body from t")
 def ext_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EXT-01, EXT-02, SRC-06, 07, 11: a page's body by its container or else its paragraphs, and by which."""
+    """SRC-06, 07 and parts of EXT-01, EXT-02, SRC-11: a page's body by its container or else its paragraphs, and by which.
+
+    Not built: JSON-LD articleBody, the longest of several containers, removal of chrome, and SRC-11's title, links, times,
+    canonical and images.
+    """
     html = F.coalesce("html", F.lit(""))
     rows = table(spark, sf_dir, "pages").select("page_id", html_to_text(F.regexp_extract(html, _ARTICLE, 1)).alias("a"), html_to_text(F.array_join(F.regexp_extract_all(html, F.lit(_PARAGRAPH), F.lit(1)), " ")).alias("p"))
     via = F.when(F.length("a") >= BODY_FLOOR, "container").when(F.length("p") >= BODY_FLOOR, "paragraphs")
@@ -210,6 +214,6 @@ _DATED = [("no_title", "2024-01-01", "title = ''"), ("short", "2024-01-10", "len
 
 @query(f"with {ARTICLES_SQL} select id, list_filter([" + ", ".join(f"case when published_at >= timestamp '{d} 00:00:00' and ({c}) then '{r}' end" for r, d, c in _DATED) + "], lambda x: x is not null)[1] as first_failing from articles")
 def val_dated_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VAL-06, VAL-10, VAL-16, EVD-08: ordered rules, each in force from its own day."""
+    """VAL-16, EVD-08 and a part of VAL-06, VAL-10: ordered rules, each in force from its own day; four of theirs are built."""
     reasons: Column = F.array_compact(F.array(*(F.when(F.expr(f"published_at >= timestamp_ntz'{d} 00:00:00' and ({c})"), F.lit(r)) for r, d, c in _DATED)))
     return articles(spark, sf_dir).select("id", F.get(reasons, 0).alias("first_failing"))

@@ -144,7 +144,7 @@ def set_extra_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {ARTICLES_SQL} select id, regexp_matches(content, '[0-9]{{4}}') as has_time, regexp_matches(content, '[0-9]') as has_number, length(title) > 42 as long_title, regexp_matches(content, '(?i)translator.s note|as an ai') as meta_comment, case when title = '' then 'no_title' when length(content) < 60 then 'short' when regexp_matches(content, '[0-9]') then null else 'no_data' end as first_failing from articles")
 def val_article_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VAL-01, 08, 15, STR-16, STR-22: rule columns and the first failing rule."""
+    """VAL-08, 15, STR-16, STR-22 and one of VAL-01's ten issue kinds: rule columns and the first failing rule."""
     c = F.col("content")
     first = F.when(F.col("title") == "", "no_title").when(F.length(c) < 60, "short").when(c.rlike("[0-9]"), None).otherwise("no_data")
     return articles(spark, sf_dir).select("id", c.rlike("[0-9]{4}").alias("has_time"), c.rlike("[0-9]").alias("has_number"), (F.length("title") > 42).alias("long_title"), c.rlike("(?i)translator.s note|as an ai").alias("meta_comment"), first.alias("first_failing"))
