@@ -78,19 +78,11 @@ def document_recipes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_recipes, _SCHEMA)
 
 
-def contested_chunks(recipes: DataFrame) -> DataFrame:
-    """Identifiers carried by chunks whose checks differ: (id). Empty unless two different chunks share an identifier."""
-    chunks = recipes.select("recipe", "checks").distinct()
-    pairs = chunks.select(F.explode(F.expr("transform(sequence(1, greatest(1, length(recipe) div 16)), i -> struct(substring(recipe, (i - 1) * 16 + 1, 16) as id, substring(checks, (i - 1) * 16 + 1, 16) as check))")).alias("c")).select("c.*")
-    verified = pairs.groupBy("id").agg(F.min("check").alias("low"), F.max("check").alias("high"))
-    return verified.filter("low != high").select("id")
-
-
 def dedupe_exact(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs.
 
-    Recipes whose identifiers are all uncontested are compared as they are. Should an identifier be contested, the checks
-    join the key, so that the two chunks count as different identifiers: the key below always carries both.
+    No chunk table is built: the key carries identifiers and checks, so that two chunks with one identifier and different
+    checks count as different.
     """
     recipes = stage(document_recipes(docs), "recipes")
     groups = recipes.groupBy("recipe", "checks").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
