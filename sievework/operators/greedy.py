@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .similarity import staged
+from ..sources.shared import Scratch, stage
 
 
 def kept_in_order(nodes: DataFrame, rivals: DataFrame) -> DataFrame:
@@ -15,13 +15,16 @@ def kept_in_order(nodes: DataFrame, rivals: DataFrame) -> DataFrame:
     The rivals must not form rings among nodes that aren't dropped, as is so if y always comes before x. A round settles
     every node whose rivals are settled; a hot node's rivals are combined before they are shuffled.
     """
-    state = staged(nodes.select("id", F.when(F.col("dropped"), F.lit(False)).alias("kept")), "nodes")
-    links = staged(rivals.select("x", "y").distinct(), "rivals")
+    stages = Scratch(nodes.sparkSession)
+    state = stages(nodes.select("id", F.when(F.col("dropped"), F.lit(False)).alias("kept")), "nodes")
+    links = stages(rivals.select("x", "y").distinct(), "rivals")
     while not state.filter("kept is null").isEmpty():
         seen = links.join(state.withColumnRenamed("id", "y"), "y").groupBy("x").agg(F.bool_or("kept").alias("beaten"), F.count_if(F.col("kept").isNull()).alias("waiting"))
         settled = F.when(F.coalesce("beaten", F.lit(False)), False).when(F.coalesce("waiting", F.lit(0)) == 0, True)
-        state = staged(state.join(seen.withColumnRenamed("x", "id"), "id", "left").select("id", F.coalesce("kept", settled).alias("kept")), "nodes")
-    return state
+        state = stages(state.join(seen.withColumnRenamed("x", "id"), "id", "left").select("id", F.coalesce("kept", settled).alias("kept")), "nodes")
+    out = stage(state, "kept")
+    stages.drop()
+    return out
 
 
 def _pick(items: list[tuple], pairs: list[tuple], budget: int, covered_before: set) -> tuple[list[tuple], set]:
@@ -79,10 +82,13 @@ def ring_roots(pointers: DataFrame) -> DataFrame:
     known = pointers.select(F.col("id").alias("same_as"))
     state = pointers.join(known, "same_as", "left_semi").select("id", F.col("same_as").alias("jump"), F.least("id", "same_as").alias("low"))
     ends = pointers.join(state.select("id"), "id", "left_anti").select("id", F.col("id").alias("jump"), F.col("id").alias("low"))
-    state = staged(state.unionByName(ends), "pointers")
-    ends = staged(ends.select("id"), "ends")
+    stages = Scratch(pointers.sparkSession)
+    state = stages(state.unionByName(ends), "pointers")
+    ends = stages(ends.select("id"), "ends")
     for _ in range(max(1, state.count().bit_length())):
         ahead = state.select(F.col("id").alias("jump"), F.col("jump").alias("further"), F.col("low").alias("below"))
-        state = staged(state.join(ahead, "jump").select("id", F.col("further").alias("jump"), F.least("low", "below").alias("low")), "pointers")
+        state = stages(state.join(ahead, "jump").select("id", F.col("further").alias("jump"), F.least("low", "below").alias("low")), "pointers")
     landed = state.select(F.col("id").alias("jump"), F.col("low").alias("ring_low")).join(ends.select(F.col("id").alias("jump"), F.lit(True).alias("end")), "jump", "left")
-    return state.join(landed, "jump").select("id", F.when(F.col("end"), F.col("jump")).otherwise(F.col("ring_low")).alias("root"), F.coalesce(~F.col("end"), F.lit(True)).alias("ring"))
+    out = stage(state.join(landed, "jump").select("id", F.when(F.col("end"), F.col("jump")).otherwise(F.col("ring_low")).alias("root"), F.coalesce(~F.col("end"), F.lit(True)).alias("ring")), "rings")
+    stages.drop()
+    return out

@@ -2,21 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, jaccard, normalized
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back, so that a loop's plans stay short and no lost executor costs more."""
-    spark: SparkSession = df.sparkSession
-    top = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    path = f"{top}/sievework/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.shared import Scratch, stage
 
 
 def similar_pairs(rows: DataFrame, floor: float) -> DataFrame:
@@ -48,32 +38,38 @@ def first_seen(rows: DataFrame, keys: list[str]) -> DataFrame:
     key with one kept before; both are aggregations, so that a key held by very many rows is never gathered.
     Empty and null keys match nothing.
     """
-    open_rows = staged(rows.select("id", *keys), "open")
-    decided = None
+    stages = Scratch(rows.sparkSession)
+    pairs = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")) for k in keys))
+    posted = lambda df: df.select("id", F.explode(pairs).alias("p")).select("id", "p.*").filter("key is not null and key != ''")
+    open_rows, decided = stages(rows.select("id", *keys), "open"), rows.select("id", F.lit(True).alias("kept")).limit(0)
     while True:
-        posts = open_rows.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")) for k in keys))).alias("p")).select("id", "p.*").filter("key is not null and key != ''")
-        first = posts.groupBy("kind", "key").agg(F.min("id").alias("first"))
+        posts = posted(open_rows)
+        first = stages(posts.groupBy("kind", "key").agg(F.min("id").alias("first")), "first")
         blocked = posts.join(first, ["kind", "key"]).filter("id > first").select("id").distinct()
-        kept = staged(open_rows.join(blocked, "id", "left_anti"), "kept")
+        kept = stages(open_rows.join(blocked, "id", "left_anti"), "kept")
         if kept.isEmpty():
             break
-        owners = kept.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")) for k in keys))).alias("p")).select("p.*").filter("key is not null and key != ''")
-        gone = staged(posts.join(owners, ["kind", "key"], "left_semi").join(kept.select("id"), "id", "left_anti").select("id").distinct(), "gone")
-        now = kept.select("id", F.lit(True).alias("kept")).union(gone.select("id", F.lit(False)))
-        decided = now if decided is None else decided.union(now)
-        open_rows = staged(open_rows.join(now.select("id"), "id", "left_anti"), "open")
-    return decided if decided is not None else rows.select("id", F.lit(True).alias("kept"))
+        gone = posts.join(posted(kept).drop("id").distinct(), ["kind", "key"], "left_semi").join(kept.select("id"), "id", "left_anti").select("id").distinct()
+        now = stages(kept.select("id", F.lit(True).alias("kept")).union(gone.select("id", F.lit(False))), "decided")
+        decided = decided.union(now)
+        open_rows = stages(open_rows.join(now.select("id"), "id", "left_anti"), "open")
+    out = stage(decided, "first-seen")
+    stages.drop()
+    return out
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """pairs (a, b) -> (id, root): the least id that can be reached. Labels spread by aggregation until none changes."""
-    edges = staged(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), "edges")
-    labels = staged(edges.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id")), "labels")
+    stages = Scratch(pairs.sparkSession)
+    edges = stages(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), "edges")
+    labels = stages(edges.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id")), "labels")
     while True:
         near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("root").alias("low")).withColumnRenamed("a", "id")
         lower = labels.join(near, "id").select("id", F.least("root", "low").alias("root"))
         jump = lower.select(F.col("id").alias("root"), F.col("root").alias("further"))
-        new = staged(lower.join(jump, "root", "left").select("id", F.least("root", "further").alias("root")), "labels")
+        new = stages(lower.join(jump, "root", "left").select("id", F.least("root", "further").alias("root")), "labels")
         if new.join(labels.withColumnRenamed("root", "was"), "id").filter("root != was").isEmpty():
-            return new
+            out = stage(new, "components")
+            stages.drop()
+            return out
         labels = new

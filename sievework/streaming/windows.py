@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path
+
 DELAY = "10 minutes"
 
 
@@ -25,7 +25,7 @@ def once(events: DataFrame, keys: list[str]) -> DataFrame:
 def drained_window_counts(spark: SparkSession, path: str) -> DataFrame:
     """Read what is there as a stream, write the closed windows to the shared folder, and return them."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    top = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/") + f"/sievework/stream-{uuid.uuid4().hex}"
+    top = new_path(spark, "stream")
     folder, name = path.rsplit("/", 1)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", name).parquet(folder)
     out = window_counts(stream)
