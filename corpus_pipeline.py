@@ -15,6 +15,9 @@ from sievework.llm.minhash_join import without_near_copies
 from sievework.llm.shared import documents, stage
 from sievework.llm.suffix_dedup import without_repeats
 
+#: Passages of over 50 words are to go; 50 words of prose are rarely shorter than this, whereas 20 words always are.
+PASSAGE_BYTES, PASSAGE_GRAM = 240, 64
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier accepts."""
@@ -32,8 +35,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with repeated passages taken out of their texts."""
-    return without_repeats(docs)
+    """All documents, with repeated passages of PASSAGE_BYTES or more taken out of their texts."""
+    return without_repeats(docs, PASSAGE_BYTES, PASSAGE_GRAM)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,12 +5,15 @@ all of its words hashed and counted, and a few numbers. A bidirectional LSTM in
 every block as article text or not, so that a block is judged by what stands around it. Blocks labelled as text are joined.
 
 The network is trained here, on pages laid out at random (menus, notices, adverts, sidebars, forms, reader comments, footers,
-with and without semantic tags or telling classes) that borrow their words from a bounded sample of SAMPLE_PAGES pages with
-the least hash of page_id, and on those of these pages whose tags mark an article, labelled by their tags. It is fitted on the
-driver in a fixed number of steps.
+with and without semantic tags or telling classes) that borrow their words from a bounded sample of pages, and on those of the
+sample's pages whose own markup tells where the text is. One rule, marked_labels, labels both. The sample, the only thing that
+is bounded, has at most SAMPLE_PAGES pages of at most SAMPLE_CHARS characters, those with the least hash of page_id; of them
+training takes SAMPLE_LINES lines and, from each page, PAGE_PARTS parts of TRAIN_BLOCKS blocks. It runs on the driver in a
+fixed number of steps. Every page is then read whole, whatever its length.
 
 Defined cases: a null, empty or blank html has an empty text; markup that ends early or is never closed is read as far as it
-goes; repeated rows are extracted alike; null ids and urls are kept; other columns are ignored; an empty table gives no rows.
+goes; repeated rows are extracted alike; null ids and urls are kept; other columns are ignored, whatever their names; an empty
+table gives no rows; if all page_ids are null, training has invented lines only.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .shared import Recent
 
-SAMPLE_PAGES, STEPS, BATCH, TRAIN_BLOCKS = 64, 260, 24, 80
+SAMPLE_PAGES, SAMPLE_CHARS, SAMPLE_LINES, TRAIN_BLOCKS, PAGE_PARTS = 64, 1_000_000, 3000, 80, 5
+STEPS, BATCH = 260, 24
 PLAIN_SHARE = 0.35
 PATH_SHARE, WORD_SHARE, HIDDEN, NUMBERS = 384, 1024, 20, 6
 FEATURES = PATH_SHARE + WORD_SHARE
@@ -319,11 +323,19 @@ class BlockNetwork:
         return loss
 
 
-def teacher_label(block: Block) -> float:
-    """1 for a block inside an article and outside whatever never is article text."""
-    names = set(block.path)
-    outside = {"nav", "header", "footer", "aside", "form", "!hidden", "menu"} | {f"{s}{w}" for s in ".#" for w in ("ad", "ads", "advert", "nav", "menu", "sidebar", "comment", "comments", "cookie", "notice", "banner", "footer", "header", "share", "related", "promo", "newsletter")}
-    return float(bool(names & {"article", "main"}) and not names & outside)
+_OUTSIDE = frozenset({"nav", "header", "footer", "aside", "form", "!hidden", "menu"} | {f"{s}{w}" for s in ".#" for w in "ad ads advert nav menu sidebar comment comments cookie notice banner footer header share related promo newsletter".split()})
+_SEMANTIC = frozenset(("article", "main"))
+_CONTAINERS = frozenset(f"{s}{w}" for s in ".#" for w in "article content entry main post story".split())
+
+
+def marked_labels(blocks: list[Block]) -> list[float] | None:
+    """1 for each block inside the article and outside whatever never is article text, 0 for the others. Semantic tags tell, or,
+    where no text is within one, classes and ids of containers; None if neither does."""
+    for inside in (_SEMANTIC, _CONTAINERS):
+        labels = [float(not inside.isdisjoint(b.path) and _OUTSIDE.isdisjoint(b.path)) for b in blocks]
+        if any(labels):
+            return labels
+    return None
 
 
 #: What notices, adverts, footers and prompts of random pages say; their words are learnt from these and from the sample.
@@ -434,11 +446,11 @@ def random_page(rng: np.random.Generator, lines: list[str]) -> list[tuple[Block,
 def fit_labeller(sample: list[str], steps: int = STEPS) -> BlockNetwork:
     """A network fitted on random layouts and the sample's own pages."""
     rng = np.random.default_rng(5)
-    own = [[(b, teacher_label(b)) for b in leaf_blocks(page)] for page in sample]
-    told = [(b.text, y) for page in own for b, y in page]
-    lines = ([t for t, y in told if y] or [t for t, _ in told])[:3000] or ["Some words of a line.", "Another short line of words"]
-    own = [page for page in own if any(y for _, y in page)]  # else the tags tell nothing
-    own = [page[at : at + TRAIN_BLOCKS] for page in own for at in range(0, min(len(page), 5 * TRAIN_BLOCKS), TRAIN_BLOCKS)]
+    read = [leaf_blocks(page) for page in sample]
+    labels = [marked_labels(blocks) for blocks in read]
+    own = [list(zip(blocks, ys, strict=True)) for blocks, ys in zip(read, labels, strict=True) if ys]
+    lines = ([b.text for page in own for b, y in page if y] or [b.text for page in read for b in page])[:SAMPLE_LINES] or ["Some words of a line.", "Another short line of words"]
+    own = [page[at : at + TRAIN_BLOCKS] for page in own for at in range(0, min(len(page), PAGE_PARTS * TRAIN_BLOCKS), TRAIN_BLOCKS)]
     network = BlockNetwork()
 
     def draw(_: int):
@@ -471,8 +483,10 @@ def main_texts(network: BlockNetwork, pages: list[str]) -> list[str]:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    sample = [r["html"] for r in rows.filter("html is not null and length(html) < 100000").orderBy(F.xxhash64("page_id"), "page_id").select("html").limit(SAMPLE_PAGES).collect()]
-    network = fit_labeller(sample)
+    order = (F.xxhash64("page_id"), F.col("page_id"))
+    ids = [r["page_id"] for r in rows.select("page_id").filter("page_id is not null").orderBy(*order).limit(SAMPLE_PAGES).collect()]
+    picked = rows.filter(F.col("page_id").isin(ids) & (F.length("html") <= SAMPLE_CHARS))  # few ids: no task sends more than their pages
+    network = fit_labeller([r["html"] for r in picked.orderBy(*order, F.xxhash64("html")).select("html").limit(SAMPLE_PAGES).collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,52 +2,33 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-FALLBACK_DIR = "file:///tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or FALLBACK_DIR where unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or FALLBACK_DIR).rstrip("/")
 
+from ..sources.shared import Scratch, drop_path, new_path, stage
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; every call differs, so reruns never meet older files."""
-    return f"{shared_dir(spark)}/sievework/{name}-{uuid.uuid4().hex}"
+__all__ = ["Recent", "Scratch", "documents", "drop_path", "fresh", "new_path", "quoted", "stage"]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def quoted(column: str) -> str:
+    """A column's name as Spark's expressions take it, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a staged folder through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """names, made longer where docs has columns of these names, so that joined helper columns clash with none."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
-
-
-def python_text(value: str | None) -> str:
-    return value if value is not None else ""
-
-
 class Recent(dict):
     """A bounded memo of make(key): when limit keys are held they become the older generation, whose keys are still found."""
 

@@ -5,41 +5,49 @@ corpus in one place doesn't scale, so the work is dealt out first and then sorte
 
 1. Every window of LENGTH bytes names an anchor, the least-hashed gram of GRAM bytes in it (the leftmost, if several). Equal
    windows name equal grams at the same place. The windows of a text fall into runs with one anchor; a run's segment is the
-   bytes its windows cover, and each window start belongs to exactly one segment.
+   bytes its windows cover, and each window start belongs to exactly one segment. Segments that a text holds twice or more
+   repeat by that alone: they are noted where the text is read, and one of them stands for all.
 2. Segments are grouped by their anchor's hash. A gram that occurs once covers no repeated window. Equal segments of a group
    repeat as a whole and are represented by one of them.
 3. The different segments of a group are joined to a block, and the block's suffixes are sorted in two stages: those that are
    smaller than their successor directly, by ranks of the strings between them, doubled until LENGTH bytes are ordered; the
    others are induced by one scan over the buckets. Neighbours in the order with a common prefix of LENGTH bytes repeat.
-4. A group with more than GROUP_SEGMENTS different segments isn't sorted in one task: its windows are counted by 128-bit
-   digests, in parallel and combined before the shuffle.
+4. A group with more than GROUP_SEGMENTS different segments is too wide for a block and is split: a run's windows are dealt to
+   2, 4, 8 ... intervals of the anchor's place in the window, and the bytes that all windows of an interval have in common
+   are the new key. Equal windows keep equal keys. What is still wide is split further; at the last level a key stands for
+   a window's every byte.
 
 Texts are bytes, matches never cross documents, strings are judged on the input. Defined cases: a null text is the empty text;
 texts below LENGTH bytes keep everything; a row that repeats both doc_id and text is a further place, so all its windows
-repeat; null doc_ids are kept and told apart by their text; other columns are ignored; an empty table gives no rows.
+repeat; null doc_ids are kept and told apart by their text; other columns are ignored, or kept as they are by without_repeats,
+whatever their names; an empty table gives no rows; a text of any length is read whole, PIECE bytes at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import Scratch, fresh, quoted, stage
 
 LENGTH, GRAM = 400, 160
-GROUP_SEGMENTS, BLOCK_BYTES, DEALT_WINDOWS = 1500, 400_000, 64
+GROUP_SEGMENTS, BLOCK_BYTES, TASK_BYTES = 1500, 400_000, 2 << 20
 PIECE = 1 << 22
 SEPARATOR = 0xFF  # no byte of UTF-8
 _TABLE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_RUNS = "id long, text_hash long, lo int, n int, gram long, segment binary"
+#: One row for each different segment of a text; copies: how often the text holds it. Rows without a key are runs of windows
+#: that are known to repeat.
+_RUNS = "id long, text_hash long, lo int, n int, key long, segment binary, copies int"
+_SPANS = "id long, text_hash long, first int, last int"
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +73,8 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchor_runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int]]:
-    """(first window start, number of windows, hash of their anchor gram) for the runs of windows with one anchor."""
+def anchor_runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int, int]]:
+    """(first window start, number of windows, hash of their anchor gram, its place) for the runs of windows with one anchor."""
     out = []
     for begin in range(0, max(0, len(data) - length + 1), PIECE):
         part = np.frombuffer(data, dtype=np.uint8, offset=begin, count=min(len(data) - begin, PIECE + length - 1))
@@ -79,26 +87,49 @@ def anchor_runs(data: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tup
         least = _least((h & ~np.uint64(PIECE * 2 - 1)) | np.arange(n, dtype=np.uint64), length - gram + 1)
         starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
         counts = np.diff(np.append(starts, len(least)))
-        grams = h[(least[starts] & np.uint64(PIECE * 2 - 1)).astype(np.int64)].view(np.int64)
-        out += zip((starts + begin).tolist(), counts.tolist(), grams.tolist(), strict=True)
+        at = (least[starts] & np.uint64(PIECE * 2 - 1)).astype(np.int64)
+        out += zip((starts + begin).tolist(), counts.tolist(), h[at].view(np.int64).tolist(), (at + begin).tolist(), strict=True)
     return out
 
 
-def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            row, lo, n, gram, segment = [], [], [], [], []
-            for i, value in enumerate(part.column(2)):
-                data = (value.as_py() or "").encode()
-                for start, count, h in anchor_runs(data):
-                    row.append(i)
-                    lo.append(start)
-                    n.append(count)
-                    gram.append(h)
-                    segment.append(xxhash.xxh3_128_digest(data[start : start + count + LENGTH - 1]))
-            rows = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(gram, pa.int64()), pa.array(segment, pa.binary())], names=["id", "text_hash", "lo", "n", "gram", "segment"])
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs (first, last) that touch or overlap, joined."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(spans):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(last, out[-1][1]))
+        else:
+            out.append((first, last))
+    return out
+
+
+def text_runs(data: bytes, length: int, gram: int) -> list[tuple]:
+    """(lo, n, key, segment, copies) as in _RUNS."""
+    places: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+    for lo, n, key, _ in anchor_runs(data, length, gram):
+        places.setdefault((key, xxhash.xxh3_128_digest(data[lo : lo + n + length - 1])), []).append((lo, n))
+    again = _merged([(lo, lo + n - 1) for found in places.values() if len(found) > 1 for lo, n in found])
+    return [(first, last - first + 1, None, None, 0) for first, last in again] + [(*found[0], key, segment, len(found)) for (key, segment), found in places.items()]
+
+
+def _table(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+
+_RUN_KINDS = {"id": pa.int64(), "text_hash": pa.int64(), "lo": pa.int32(), "n": pa.int32(), "key": pa.int64(), "segment": pa.binary(), "copies": pa.int32()}
+
+
+def _run_batches(length: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows = [(i, *r) for i, value in enumerate(part.column(2)) for r in text_runs((value.as_py() or "").encode(), length, gram)]
+                found = _table(rows, {"row": pa.int64(), **dict(list(_RUN_KINDS.items())[2:])})
+                yield pa.RecordBatch.from_arrays([part.column(0).take(found.column(0)), part.column(1).take(found.column(0)), *found.columns[1:]], names=list(_RUN_KINDS))
+
+    return run
 
 
 def _dense(*keys: np.ndarray) -> np.ndarray:
@@ -201,55 +232,85 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist(), strict=True))
 
 
-def _block_rows(block: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    text = np.frombuffer(b"\xff".join(data for _, _, data in block) + b"\xff", dtype=np.uint8)
+_SPAN_KINDS = {"id": pa.int64(), "text_hash": pa.int64(), "first": pa.int32(), "last": pa.int32()}
+
+
+def _block_rows(block: list[tuple], length: int) -> pa.RecordBatch:
+    """block: (id, text_hash, lo, alone, data) of segments -> the repeated windows of those that stand alone."""
+    text = np.frombuffer(b"\xff".join(data for *_, data in block) + b"\xff", dtype=np.uint8)
     valid, at, begins = np.zeros(len(text), dtype=bool), 0, []
-    for _, _, data in block:
+    for *_, data in block:
         begins.append(at)
-        valid[at : at + len(data) - LENGTH + 1] = True
+        valid[at : at + len(data) - length + 1] = True
         at += len(data) + 1
-    again = repeated_starts(text, valid)
-    rows = [(gram, segment, first, last) for begin, (gram, segment, data) in zip(begins, block, strict=True) for first, last in _spans(again[begin : begin + len(data) - LENGTH + 1])]
-    columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["gram", "segment", "first", "last"])
-
-
-def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input in the order of gram: whole groups are joined to blocks of about BLOCK_BYTES."""
-    block, size = [], 0
-    for batch in batches:
-        for gram, segment, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            if block and size >= BLOCK_BYTES and gram != block[-1][0]:
-                yield _block_rows(block)
-                block, size = [], 0
-            block.append((gram, segment, data.as_py()))
-            size += len(block[-1][2])
-    if block:
-        yield _block_rows(block)
-
-
-def _segment_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, wanted: array of lo, n, gram, segment, wide) -> the segments' bytes; those of wide groups in parts of
-    DEALT_WINDOWS windows, at says where a part begins."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            rows: list[tuple] = []
-            for text, wanted in zip(batch.column(0).slice(at, 200), batch.column(1).slice(at, 200).to_pylist(), strict=True):
-                data = (text.as_py() or "").encode()
-                for w in wanted:
-                    size = DEALT_WINDOWS if w["wide"] else w["n"]
-                    rows += [(w["gram"], w["segment"], at, data[w["lo"] + at : w["lo"] + min(w["n"], at + size) + LENGTH - 1], w["wide"]) for at in range(0, w["n"], size)]
-            columns = list(zip(*rows, strict=True)) or [(), (), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], names=["gram", "segment", "at", "data", "wide"])
-
-
-def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for gram, segment, at, data in zip(*batch.columns, strict=True):
-            raw, begin = data.as_py(), at.as_py()
-            n = len(raw) - LENGTH + 1
-            digests = [xxhash.xxh3_128_digest(raw[i : i + LENGTH]) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array([gram.as_py()] * n, pa.int64()), pa.array([segment.as_py()] * n, pa.binary()), pa.array(range(begin, begin + n), pa.int32()), pa.array(digests, pa.binary())], names=["gram", "segment", "first", "digest"])
+    again = repeated_starts(text, valid, length)
+    rows = [(i, h, lo + first, lo + last) for begin, (i, h, lo, alone, data) in zip(begins, block, strict=True) if alone for first, last in _spans(again[begin : begin + len(data) - length + 1])]
+    return _table(rows, _SPAN_KINDS)
+
+
+def _sorted_blocks(length: int):
+    """Input in the order of key: whole groups are joined to blocks of about BLOCK_BYTES."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size, last = [], 0, None
+        for batch in batches:
+            for key, i, h, lo, alone, data in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5), strict=True):
+                if block and size >= BLOCK_BYTES and key != last:
+                    yield _block_rows(block, length)
+                    block, size = [], 0
+                block.append((i, h, lo, alone, data.as_py()))
+                size, last = size + len(block[-1][4]), key
+        if block:
+            yield _block_rows(block, length)
+
+    return run
+
+
+_FETCHED = {"key": pa.int64(), "id": pa.int64(), "text_hash": pa.int64(), "lo": pa.int32(), "alone": pa.bool_(), "data": pa.binary()}
+
+
+def _segment_bytes(length: int):
+    """(id, text_hash, text, wanted: array of lo, n, key, alone) -> the segments' bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part, rows = batch.slice(at, 200), []
+                for i, h, text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist(), strict=True):
+                    data = (text.as_py() or "").encode()
+                    rows += [(w["key"], i, h, w["lo"], w["alone"], data[w["lo"] : w["lo"] + w["n"] + length - 1]) for w in wanted]
+                yield _table(rows, _FETCHED)
+
+    return run
+
+
+def split_runs(data: bytes, wanted: list[tuple[int, int, bool]], level: int, length: int, gram: int) -> list[tuple]:
+    """Runs (lo, n, alone) of a text dealt to 2**level intervals of the anchor's place in the window: (lo, n, key, segment,
+    copies) as in _RUNS, copies being 2 for windows that are known to repeat."""
+    runs = anchor_runs(data, length, gram)
+    begins, out = [r[0] for r in runs], []
+    rest, parts = length - gram, 1 << level
+    edges = [-(-i * (rest + 1) // parts) for i in range(parts + 1)]
+    for lo, n, alone in wanted:
+        at = runs[bisect_right(begins, lo) - 1][3]
+        for i in range(parts):
+            low, high = edges[i], edges[i + 1] - 1  # bytes before the anchor
+            first, last = max(lo, at - high), min(lo + n - 1, at - low)
+            if first <= last:
+                key = xxhash.xxh3_64_intdigest(data[at - low : at + gram + rest - high], seed=level << 16 | i) - 2**63
+                out.append((first, last - first + 1, key, xxhash.xxh3_128_digest(data[first : last + length]), 1 if alone else 2))
+    return out
+
+
+def _split_batches(level: int, length: int, gram: int):
+    """(id, text_hash, text, wanted) -> rows as in _RUNS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, h, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                yield _table([(i, h, *r) for r in split_runs((text.as_py() or "").encode(), [(w["lo"], w["n"], w["alone"]) for w in wanted], level, length, gram)], _RUN_KINDS)
+
+    return run
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -258,30 +319,34 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
 
 
-def repeated_spans(plain: DataFrame, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
+def repeated_spans(plain: DataFrame, length: int = LENGTH, gram: int = GRAM, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
     """(id, text_hash, spans: array of (first window start, last window start)) of the texts with repeated windows."""
-    runs = stage(plain.select("id", "text_hash", "text").mapInArrow(_run_batches, _RUNS), "runs")
-    met = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("gram")
-    runs = stage(runs.join(met, "gram"), "met")
-    segments = runs.groupBy("gram", "segment").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "text_hash", "lo", "n")).alias("at"))
-    segments = stage(segments, "segments")
-    whole = segments.filter("copies > 1").select("gram", "segment", F.lit(0).alias("first"), (F.col("at.n") - 1).alias("last"))
-    groups = segments.groupBy("gram").agg(F.count(F.lit(1)).alias("different"), F.min("copies").alias("least")).filter("different > 1 and least = 1")
-    wanted = segments.join(groups, "gram").groupBy("at.id", "at.text_hash").agg(F.collect_list(F.struct("at.lo", "at.n", "gram", "segment", (F.col("different") > group_segments).alias("wide"))).alias("wanted"))
-    fetched = plain.select("id", "text_hash", "text").join(wanted, ["id", "text_hash"]).select("text", "wanted").mapInArrow(_segment_bytes, "gram long, segment binary, at int, data binary, wide boolean")
-    fetched = stage(fetched, "fetched")
-    narrow = fetched.filter("not wide").select("gram", "segment", "data").repartition("gram").sortWithinPartitions("gram", "segment")
-    narrow = narrow.mapInArrow(_sorted_blocks, "gram long, segment binary, first int, last int")
-    windows = fetched.filter("wide").select("gram", "segment", "at", "data").repartition("segment", "at").mapInArrow(_window_digests, "gram long, segment binary, first int, digest binary")
-    often = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("digest")
-    in_order = Window.partitionBy("gram", "segment").orderBy("first")  # at most a segment's windows
-    again = windows.join(often, "digest").select("gram", "segment", "first", (F.col("first") - F.row_number().over(in_order)).alias("run"))
-    wide = again.groupBy("gram", "segment", "run").agg(F.min("first").alias("start"), F.max("first").alias("last")).select("gram", "segment", F.col("start").alias("first"), "last")
-    alone = segments.filter("copies = 1").select("gram", "segment")
-    partly = narrow.union(wide).join(alone, ["gram", "segment"], "left_semi")
-    covered = stage(whole.union(partly), "covered")
-    spans = runs.select("id", "text_hash", "lo", "gram", "segment").join(covered, ["gram", "segment"])
-    return spans.select("id", "text_hash", F.struct((F.col("lo") + F.col("first")).alias("first"), (F.col("lo") + F.col("last")).alias("last")).alias("span")).groupBy("id", "text_hash").agg(F.collect_set("span").alias("spans"))
+    stages = Scratch(plain.sparkSession)
+    texts = plain.select("id", "text_hash", "text")
+    read = stages(texts.mapInArrow(_run_batches(length, gram), _RUNS), "runs")
+    found = read.filter("key is null").selectExpr("id", "text_hash", "lo as first", "lo + n - 1 as last")
+    runs, levels = read.filter("key is not null"), [*range(1, (length - gram).bit_length(), 2), (length - gram).bit_length()]
+    while True:
+        # the aggregated sides are staged, so that both sides of each join come straight from a shuffle and a hot key is split
+        met = stages(runs.groupBy("key").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("key"), "keys")
+        runs = stages(runs.join(met, "key"), "met")
+        segments = stages(runs.groupBy("key", "segment").agg(F.sum("copies").alias("copies"), F.min(F.struct("id", "text_hash", "lo", "n")).alias("at")), "segments")
+        again = segments.filter("copies > 1").select("key", "segment")
+        found = found.union(runs.filter("copies = 1").join(again, ["key", "segment"], "left_semi").selectExpr("id", "text_hash", "lo as first", "lo + n - 1 as last"))
+        groups = segments.groupBy("key").agg(F.count(F.lit(1)).alias("different"), F.min("copies").alias("least"), F.sum(F.col("at.n") + length - 1).alias("n_bytes")).filter("different > 1 and least = 1")
+        groups = stages(groups.withColumn("wide", F.col("different") > (group_segments if levels else 2**62)), "groups")
+        wanted = segments.join(groups, "key").select("at.id", "at.text_hash", "wide", F.struct("at.lo", "at.n", "key", (F.col("copies") == 1).alias("alone")).alias("w"))
+        fetched = lambda wide: texts.join(wanted.filter("wide" if wide else "not wide").groupBy("id", "text_hash").agg(F.collect_list("w").alias("wanted")), ["id", "text_hash"])  # noqa: B023, E731
+        narrow, n_wide = groups.agg(F.sum(F.expr("if(wide, 0, n_bytes)")), F.count_if("wide")).first()
+        tasks = max(plain.sparkSession.sparkContext.defaultParallelism, (narrow or 0) // TASK_BYTES)
+        blocks = fetched(False).mapInArrow(_segment_bytes(length), "key long, id long, text_hash long, lo int, alone boolean, data binary")
+        found = found.union(blocks.repartition(tasks, "key").sortWithinPartitions("key", "id", "lo").mapInArrow(_sorted_blocks(length), _SPANS))
+        if not n_wide:
+            break
+        runs = stages(fetched(True).mapInArrow(_split_batches(levels.pop(0), length, gram), _RUNS), "split")
+    spans = stage(found.groupBy("id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
+    stages.drop()
+    return spans
 
 
 def removed_ranges(spans: list[dict] | None, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -316,45 +381,53 @@ def whole_characters(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[i
     return out
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        size, gone, runs, kept = [], [], [], []
-        for text, spans in zip(batch.column(1), batch.column(2), strict=True):
-            data, ranges = (text.as_py() or "").encode(), removed_ranges(spans.as_py())
-            size.append(len(data))
-            gone.append(sum(b - a for a, b in ranges))
-            runs.append(len(ranges))
-            kept.append(hashlib.sha256(kept_bytes(data, ranges)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (size, gone, runs)), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def _kept_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept = []
-        for text, spans in zip(batch.column(0), batch.column(1), strict=True):
-            ranges, value = removed_ranges(spans.as_py()), text.as_py()
-            if ranges:
-                data = value.encode()
-                value = kept_bytes(data, whole_characters(data, ranges)).decode()
-            kept.append(value)
-        yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(kept, pa.string())], names=[*batch.schema.names[2:], "_kept"])
-
-
-def removal_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
+def _digests(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, gone, runs, kept, left = [], [], [], [], []
+            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
+                value = text.as_py() or ""
+                data, ranges = value.encode(), removed_ranges(spans.as_py(), length)
+                size.append(len(data))
+                gone.append(sum(b - a for a, b in ranges))
+                runs.append(len(ranges))
+                kept.append(hashlib.sha256(kept_bytes(data, ranges)).hexdigest())
+                left.append(kept_bytes(data, whole_characters(data, ranges)).decode() if ranges else value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (size, gone, runs)), pa.array(kept, pa.string()), pa.array(left, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+
+    return run
+
+
+def _kept_texts(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for text, spans in zip(batch.column(0), batch.column(1), strict=True):
+                ranges, value = removed_ranges(spans.as_py(), length), text.as_py()
+                if ranges:
+                    data = value.encode()
+                    value = kept_bytes(data, whole_characters(data, ranges)).decode()
+                kept.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(kept, pa.string())], names=[*batch.schema.names[2:], "kept"])
+
+    return run
+
+
+def removal_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs, and text: what is left of it, in whole
+    characters (a character that is removed in part stays)."""
     plain = _plain(docs)
-    joined = plain.join(repeated_spans(plain), ["id", "text_hash"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = plain.join(repeated_spans(plain, length, gram), ["id", "text_hash"], "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(_digests(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with the repeated passages taken out of text (whole characters only); n_chars follows if there is one."""
-    plain = _plain(docs)
-    spans = repeated_spans(plain).toDF("_id", "_text_hash", "_spans")
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = keyed.join(spans, ["_id", "_text_hash"], "left").select("text", "_spans", *(F.col(c).alias(f"_in_{i}") for i, c in enumerate(docs.columns)))
-    schema = ", ".join(f"_in_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)) + ", _kept string"
-    out = joined.mapInArrow(_kept_texts, schema)
-    length = F.length("_kept")
-    columns = {"text": F.col("_kept"), "n_chars": F.when(F.col("_kept").isNotNull(), length)}
-    return out.select(*(columns.get(f.name, F.col(f"_in_{i}")).cast(f.dataType).alias(f.name) for i, f in enumerate(docs.schema.fields)))
+    fields = docs.schema.fields
+    row, text_hash, spans = fresh(docs, "row", "text_hash", "spans")
+    found = repeated_spans(_plain(docs), length, gram).toDF(row, text_hash, spans)
+    keyed = docs.withColumns({row: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), text_hash: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    joined = keyed.join(found, [row, text_hash], "left").select(F.col("text").cast("string"), spans, *(F.col(quoted(f.name)).alias(f"in_{i}") for i, f in enumerate(fields)))
+    out = joined.mapInArrow(_kept_texts(length), ", ".join(f"in_{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)) + ", kept string")
+    columns = {"text": F.col("kept"), "n_chars": F.when(F.col("kept").isNotNull(), F.length("kept"))}
+    return out.select(*(columns.get(f.name, F.col(f"in_{i}")).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)))

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small fixtures with nulls, ties, repeats and empty tables."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -43,21 +44,41 @@ def test_exact_dedup(docs, empty):
     assert chunk_recipes.without_copies(docs).count() == len(groups)
 
 
-def test_suffix_dedup(docs, empty):
-    count = Counter(t.encode()[i : i + 400] for _, t in texts() for i in range(len(t.encode()) - 399))
+def repeats_by_brute_force(rows, length):
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of every row, by counting all strings of length bytes."""
+    count = Counter(t.encode()[i : i + length] for _, t in rows for i in range(len(t.encode()) - length + 1))
     want = []
-    for i, t in texts():
+    for i, t in rows:
         data = t.encode()
-        ranges = suffix_dedup.removed_ranges([{"first": k, "last": k} for k in range(len(data) - 399) if count[data[k : k + 400]] > 1])
-        want.append((i, len(data), sum(b - a for a, b in ranges), len(ranges), hashlib.sha256(suffix_dedup.kept_bytes(data, ranges)).hexdigest()))
-    assert sorted(map(tuple, suffix_dedup.removal_report(docs).collect()), key=str) == sorted(want, key=str)
+        ranges = suffix_dedup.removed_ranges([{"first": k, "last": k} for k in range(len(data) - length + 1) if count[data[k : k + length]] > 1], length)
+        left = suffix_dedup.kept_bytes(data, suffix_dedup.whole_characters(data, ranges)).decode()
+        want.append((i, len(data), sum(b - a for a, b in ranges), len(ranges), hashlib.sha256(suffix_dedup.kept_bytes(data, ranges)).hexdigest(), left))
+    return sorted(want, key=str)
+
+
+def passages_of_all_kinds():
+    """Texts with a common passage just below and above 400 bytes, periods, near copies, characters of two bytes, and one of 200,000 bytes."""
+    r = random.Random(3)
+    some = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    short, long = some(60)[:390], some(120)[:430]
+    rows = [(k, f"{some(r.randrange(40))} {r.choice([short, long, short[20:]])} {some(r.randrange(80))}") for k in range(60)]
+    rows += [(100, "one line again\n" * 300), (101, "one line again\n" * 31), (102, "xy" * 900), (103, "ñandú " * 200), (104, some(15000) + long), (105, LONG), (106, LONG[:2000] + "changed" + LONG[2000:])]
+    return rows
+
+
+def test_suffix_dedup(docs, empty):
+    assert sorted(map(tuple, suffix_dedup.removal_report(docs).collect()), key=str) == repeats_by_brute_force(texts(), 400)
     assert suffix_dedup.removal_report(empty).count() == 0
 
 
-def test_suffix_dedup_of_wide_groups(docs, monkeypatch):
+@pytest.mark.parametrize(("length", "gram"), [(400, 160), (240, 64)])
+def test_suffix_dedup_of_wide_groups(spark, length, gram):
+    rows = passages_of_all_kinds()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, suffix_dedup.removal_report(docs, length, gram).collect()), key=str) == repeats_by_brute_force(rows, length)
     plain = suffix_dedup._plain(docs)
-    usual = {(r.id, r.text_hash): suffix_dedup.removed_ranges(r.spans) for r in suffix_dedup.repeated_spans(plain).collect()}
-    assert {(r.id, r.text_hash): suffix_dedup.removed_ranges(r.spans) for r in suffix_dedup.repeated_spans(plain, 1).collect()} == usual
+    spans = lambda most: {r.id: suffix_dedup.removed_ranges(r.spans, length) for r in suffix_dedup.repeated_spans(plain, length, gram, most).collect()}
+    assert spans(2) == spans(1500)  # groups split level by level give what one block gives
 
 
 def test_near_dedup(docs, empty):
