@@ -266,11 +266,13 @@ def _sorted_blocks(length: int):
     return run
 
 
-_FETCHED = {"key": pa.int64(), "id": pa.int64(), "text_hash": pa.int64(), "lo": pa.int32(), "alone": pa.bool_(), "data": pa.binary()}
+#: A segment with its bytes; anchor: the place of its anchor gram, found for wide groups only.
+_SEGMENT_KINDS = {"key": pa.int64(), "id": pa.int64(), "text_hash": pa.int64(), "lo": pa.int32(), "n": pa.int32(), "copies": pa.int32(), "wide": pa.bool_(), "anchor": pa.int32(), "data": pa.binary()}
+_SEGMENTS = "key long, id long, text_hash long, lo int, n int, copies int, wide boolean, anchor int, data binary"
 
 
-def _segment_bytes(length: int):
-    """(id, text_hash, text, wanted: array of lo, n, key, alone) -> the segments' bytes."""
+def _segment_bytes(length: int, gram: int):
+    """(id, text_hash, text, wanted: array of key, lo, n, copies, wide) -> rows as in _SEGMENTS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,37 +280,38 @@ def _segment_bytes(length: int):
                 part, rows = batch.slice(at, 200), []
                 for i, h, text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist(), strict=True):
                     data = (text.as_py() or "").encode()
-                    rows += [(w["key"], i, h, w["lo"], w["alone"], data[w["lo"] : w["lo"] + w["n"] + length - 1]) for w in wanted]
-                yield _table(rows, _FETCHED)
+                    anchors = {r[0]: r[3] for r in anchor_runs(data, length, gram)} if any(w["wide"] for w in wanted) else {}
+                    rows += [(w["key"], i, h, w["lo"], w["n"], w["copies"], w["wide"], anchors.get(w["lo"]), data[w["lo"] : w["lo"] + w["n"] + length - 1]) for w in wanted]
+                yield _table(rows, _SEGMENT_KINDS)
 
     return run
 
 
-def split_runs(data: bytes, wanted: list[tuple[int, int, bool]], level: int, length: int, gram: int) -> list[tuple]:
-    """Runs (lo, n, alone) of a text dealt to 2**level intervals of the anchor's place in the window: (lo, n, key, segment,
-    copies) as in _RUNS, copies being 2 for windows that are known to repeat."""
-    runs = anchor_runs(data, length, gram)
-    begins, out = [r[0] for r in runs], []
-    rest, parts = length - gram, 1 << level
-    edges = [-(-i * (rest + 1) // parts) for i in range(parts + 1)]
-    for lo, n, alone in wanted:
-        at = runs[bisect_right(begins, lo) - 1][3]
-        for i in range(parts):
-            low, high = edges[i], edges[i + 1] - 1  # bytes before the anchor
-            first, last = max(lo, at - high), min(lo + n - 1, at - low)
-            if first <= last:
-                key = xxhash.xxh3_64_intdigest(data[at - low : at + gram + rest - high], seed=level << 16 | i) - 2**63
-                out.append((first, last - first + 1, key, xxhash.xxh3_128_digest(data[first : last + length]), 1 if alone else 2))
+def split_segment(data: bytes, lo: int, n: int, anchor: int, level: int, length: int, gram: int) -> list[tuple]:
+    """A segment's windows dealt to 2**level intervals of the anchor's place in the window: (key, lo, n, bytes) of each."""
+    rest, parts, out = length - gram, 1 << level, []
+    for i in range(parts):
+        low, high = -(-i * (rest + 1) // parts), -(-(i + 1) * (rest + 1) // parts) - 1  # bytes before the anchor
+        first, last = max(lo, anchor - high), min(lo + n - 1, anchor - low)
+        if first <= last:
+            shared = data[anchor - low - lo : anchor + gram + rest - high - lo]
+            out.append((xxhash.xxh3_64_intdigest(shared, seed=level << 16 | i) - 2**63, first, last - first + 1, data[first - lo : last + length - lo]))
     return out
 
 
+_SPLIT_KINDS = _RUN_KINDS | {"anchor": pa.int32(), "data": pa.binary()}
+
+
 def _split_batches(level: int, length: int, gram: int):
-    """(id, text_hash, text, wanted) -> rows as in _RUNS."""
+    """Segments of wide groups -> rows as in _RUNS with anchor and data; copies is 2 for windows that are known to repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, h, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                yield _table([(i, h, *r) for r in split_runs((text.as_py() or "").encode(), [(w["lo"], w["n"], w["alone"]) for w in wanted], level, length, gram)], _RUN_KINDS)
+            for at in range(0, batch.num_rows, 200):
+                rows = []
+                for i, h, lo, n, copies, anchor, data in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns), strict=True):
+                    rows += [(i, h, first, m, key, xxhash.xxh3_128_digest(part), min(copies, 2), anchor, part) for key, first, m, part in split_segment(data, lo, n, anchor, level, length, gram)]
+                yield _table(rows, _SPLIT_KINDS)
 
     return run
 
@@ -322,28 +325,33 @@ def _plain(docs: DataFrame) -> DataFrame:
 def repeated_spans(plain: DataFrame, length: int = LENGTH, gram: int = GRAM, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
     """(id, text_hash, spans: array of (first window start, last window start)) of the texts with repeated windows."""
     stages = Scratch(plain.sparkSession)
-    texts = plain.select("id", "text_hash", "text")
-    read = stages(texts.mapInArrow(_run_batches(length, gram), _RUNS), "runs")
+    read = stages(plain.select("id", "text_hash", "text").mapInArrow(_run_batches(length, gram), _RUNS), "runs")
     found = read.filter("key is null").selectExpr("id", "text_hash", "lo as first", "lo + n - 1 as last")
-    runs, levels = read.filter("key is not null"), [*range(1, (length - gram).bit_length(), 2), (length - gram).bit_length()]
+    runs, more = read.filter("key is not null"), []
+    levels = [*range(1, (length - gram).bit_length(), 2), (length - gram).bit_length()]
     while True:
         # the aggregated sides are staged, so that both sides of each join come straight from a shuffle and a hot key is split
         met = stages(runs.groupBy("key").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("key"), "keys")
         runs = stages(runs.join(met, "key"), "met")
-        segments = stages(runs.groupBy("key", "segment").agg(F.sum("copies").alias("copies"), F.min(F.struct("id", "text_hash", "lo", "n")).alias("at")), "segments")
+        segments = runs.groupBy("key", "segment").agg(F.sum("copies").cast("int").alias("copies"), F.min(F.struct("id", "text_hash", "lo", "n", *more)).alias("at"))
+        segments = stages(segments.select("key", "segment", "copies", "at.*"), "segments")
         again = segments.filter("copies > 1").select("key", "segment")
-        found = found.union(runs.filter("copies = 1").join(again, ["key", "segment"], "left_semi").selectExpr("id", "text_hash", "lo as first", "lo + n - 1 as last"))
-        groups = segments.groupBy("key").agg(F.count(F.lit(1)).alias("different"), F.min("copies").alias("least"), F.sum(F.col("at.n") + length - 1).alias("n_bytes")).filter("different > 1 and least = 1")
-        groups = stages(groups.withColumn("wide", F.col("different") > (group_segments if levels else 2**62)), "groups")
-        wanted = segments.join(groups, "key").select("at.id", "at.text_hash", "wide", F.struct("at.lo", "at.n", "key", (F.col("copies") == 1).alias("alone")).alias("w"))
-        fetched = lambda wide: texts.join(wanted.filter("wide" if wide else "not wide").groupBy("id", "text_hash").agg(F.collect_list("w").alias("wanted")), ["id", "text_hash"])  # noqa: B023, E731
+        found = found.union(runs.filter("copies = 1").select("id", "text_hash", "lo", "n", "key", "segment").join(again, ["key", "segment"], "left_semi").selectExpr("id", "text_hash", "lo as first", "lo + n - 1 as last"))
+        groups = segments.groupBy("key").agg(F.count(F.lit(1)).alias("different"), F.min("copies").alias("least"), F.sum(F.col("n") + length - 1).alias("n_bytes")).filter("different > 1 and least = 1")
+        groups = stages(groups.select("key", "n_bytes", (F.col("different") > (group_segments if levels else 2**62)).alias("wide")), "groups")
+        wanted = segments.join(groups.drop("n_bytes"), "key")
+        if not more:  # the texts move once
+            wanted = wanted.groupBy("id", "text_hash").agg(F.collect_list(F.struct("key", "lo", "n", "copies", "wide")).alias("wanted"))
+            wanted = plain.select("id", "text_hash", "text").join(wanted, ["id", "text_hash"]).mapInArrow(_segment_bytes(length, gram), _SEGMENTS)
+        wanted, more = stages(wanted.select("key", "id", "text_hash", "lo", "n", "copies", "wide", "anchor", "data"), "wanted"), ["anchor", "data"]
         narrow, n_wide = groups.agg(F.sum(F.expr("if(wide, 0, n_bytes)")), F.count_if("wide")).first()
         tasks = max(plain.sparkSession.sparkContext.defaultParallelism, (narrow or 0) // TASK_BYTES)
-        blocks = fetched(False).mapInArrow(_segment_bytes(length), "key long, id long, text_hash long, lo int, alone boolean, data binary")
-        found = found.union(blocks.repartition(tasks, "key").sortWithinPartitions("key", "id", "lo").mapInArrow(_sorted_blocks(length), _SPANS))
+        blocks = wanted.filter("not wide").select("key", "id", "text_hash", "lo", (F.col("copies") == 1).alias("alone"), "data").repartition(tasks, "key").sortWithinPartitions("key", "id", "lo")
+        found = found.union(blocks.mapInArrow(_sorted_blocks(length), _SPANS))
         if not n_wide:
             break
-        runs = stages(fetched(True).mapInArrow(_split_batches(levels.pop(0), length, gram), _RUNS), "split")
+        split = wanted.filter("wide").select("id", "text_hash", "lo", "n", "copies", "anchor", "data").mapInArrow(_split_batches(levels.pop(0), length, gram), f"{_RUNS}, anchor int, data binary")
+        runs = stages(split, "split")
     spans = stage(found.groupBy("id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
     stages.drop()
     return spans

@@ -7,6 +7,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.llm import additive_quality, block_labeller, chunk_recipes, cutting_stock, minhash_join, piece_codec, robust_outliers, snapshot_collapse, suffix_dedup, warc_members
 
@@ -42,6 +43,12 @@ def test_exact_dedup(docs, empty):
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == want
     assert chunk_recipes.dedupe_exact(empty).count() == 0
     assert chunk_recipes.without_copies(docs).count() == len(groups)
+    # one byte as identifier: different chunks clash, and verification tells their texts apart
+    clashing = docs.union(docs.sparkSession.range(400).selectExpr("1000 + id", "repeat(concat('text ', id), 40 + id)", "'en'", "'s'", "'x'"))
+    fields = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    short, full = (sorted((tuple(r) for r in chunk_recipes.dedupe_exact(clashing, n).select(fields).collect()), key=str) for n in (1, 16))
+    assert short == full and len(full) == len(ROWS) + 400
+    assert clashing.select("text").distinct().count() > chunk_recipes.document_recipes(clashing, 1).select("recipe").distinct().count()
 
 
 def repeats_by_brute_force(rows, length):
@@ -166,7 +173,8 @@ def test_labeller(spark):
     html = {r.page_id: r.html for r in pages.collect()}
     got = {r.page_id: r.text for r in block_labeller.extract_pages(pages).collect()}
     for i, page in html.items():
-        assert got[i] == "\n".join(b.text for b in block_labeller.leaf_blocks(page or "") if block_labeller.teacher_label(b))
+        blocks = block_labeller.leaf_blocks(page or "")
+        assert got[i] == "\n".join(b.text for b, y in zip(blocks, block_labeller.marked_labels(blocks) or [], strict=True) if y)
 
 
 def test_pipeline(spark):
@@ -199,7 +207,7 @@ def test_labeller_reads_all_words_of_neutral_markup(spark):
     assert far != other
     html = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").orderBy("page_id").collect()]
     network = block_labeller.fit_labeller(html)
-    blocks = [b for page in html for b in block_labeller.leaf_blocks(page) if block_labeller.teacher_label(b) and 20 < len(b.text.split()) < 60]
+    blocks = [b for page in html for blocks in [block_labeller.leaf_blocks(page)] for b, y in zip(blocks, block_labeller.marked_labels(blocks) or [], strict=True) if y and 20 < len(b.text.split()) < 60]
     right = total = 0
     for k, (lang, notice) in enumerate([*NOTICES_AFTER.items()] * 10):
         article = [b.text for b in blocks[4 * k : 4 * k + 4]]
@@ -244,3 +252,70 @@ def test_near_dedup_links_rows_without_ids(spark):
     left = Counter((r.doc_id, r.text) for r in minhash_join.without_near_copies(docs).collect())
     alone = (None, "alone and without any id at all")
     assert left in [Counter([(21, near()), (31, chain(0)), alone, (None, t)]) for t in (other(), other(9))]
+
+
+WRAPS = {"container": ("<div id='content'>", "</div>"), "article": ("<article>", "</article>"), "post": ("<div class='post-body'>", "</div>"), "main": ("<main>", "</main>"), "plain": ("<div>", "</div>"), "unknown": ("<div class='xyz'>", "</div>")}
+
+
+def written_page(r, wrap, paragraphs=7):
+    """(html, the article's paragraphs as written here)."""
+    say = lambda n: " ".join(f"wort{r.randrange(400)}" for _ in range(n)).capitalize() + "."
+    article = [say(r.randrange(15, 60)) for _ in range(paragraphs)]
+    before = f"<div class='nav'><ul><li><a href='/'>{say(2)}</a></li><li><a href='/b'>{say(2)}</a></li></ul></div><div class='ad'>{say(8)}</div>"
+    after = f"<div class='sidebar'><p>{say(6)}</p></div><div class='comments'><p>{say(12)}</p></div><div class='footer'>Copyright {say(5)}</div>"
+    first, last = WRAPS[wrap]
+    return f"<html><head><title>{say(4)}</title></head><body>{before}{first}{''.join(f'<p>{a}</p>' for a in article)}{last}{after}</body></html>", article
+
+
+@pytest.mark.parametrize("trained_on", ["container", "article", "plain"])
+def test_labeller_against_what_was_written(trained_on):
+    r = random.Random(4)
+    network = block_labeller.fit_labeller([written_page(r, trained_on)[0] for _ in range(64)])
+    for wrap in WRAPS:
+        pages = [written_page(r, wrap) for _ in range(20)]
+        got = [t.split("\n") for t in block_labeller.main_texts(network, [html for html, _ in pages])]
+        found = sum(a in g for g, (_, article) in zip(got, pages, strict=True) for a in article)
+        assert found == 140 if wrap == trained_on or wrap in ("container", "article", "main") else found >= 130, wrap
+        assert sum(t not in article for g, (_, article) in zip(got, pages, strict=True) for t in g) == 0, wrap
+
+
+def test_one_rule_labels_random_layouts_and_pages(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(block_labeller, "PLAIN_SHARE", 0)
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        page = block_labeller.random_page(rng, ["some words of a line that are borrowed"])
+        assert block_labeller.marked_labels([b for b, _ in page]) == [y for _, y in page]
+
+
+def test_labeller_of_odd_pages(spark):
+    r = random.Random(8)
+    long, article = written_page(r, "article", 3000)
+    usual = written_page(r, "article")[0]
+    rows = [(1, "u", long, "x"), (2, None, None, "x"), (3, "u", "", "x"), (4, "u", "   \n", "x"), (5, "u", usual, "x"), (5, "u", usual, "x"), (None, "u", usual, "x"), (6, "u", "<p", "x"), (7, "u", "&amp;&nbsp;&lt;", "x")]
+    pages = spark.createDataFrame([*rows, *((100 + k, "u", written_page(r, "article")[0], "x") for k in range(30))], "page_id long, url string, html string, text string")
+    got = [(i.page_id, i.url, i.text, i.n_chars) for i in block_labeller.extract_pages(pages).collect()]
+    by_id = {g[0]: g for g in got}
+    assert len(got) == 39 and all(n == len(t) for _, _, t, n in got)
+    assert by_id[1][2] == "\n".join(article) and [by_id[i][2] for i in (2, 3, 4, 6)] == [""] * 4 and by_id[2][1] is None
+    assert [g[2] for g in got if g[0] in (5, None)] == [by_id[5][2]] * 3
+    assert block_labeller.extract_pages(pages.limit(0)).count() == 0
+
+
+CLASHES = ("row", "digest", "gone_id", "gone_text", "spans", "text_hash", "in_0", "kept", "node", "_id", "_hash", "_gone", "_text_hash", "_spans", "_kept", "score", "a.b")
+
+
+def test_stages_keep_columns_that_clash_with_their_own(spark):
+    """Each filtering stage of the pipeline returns the columns of its input unchanged, whatever their names."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in ROWS], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(odd).withColumns({c: F.lit(f"user's {c}") for c in CLASHES})
+    for name, function in corpus_pipeline.STAGES[:4]:
+        out = function(spark, docs, sf)
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        kept = out.select(*(F.col(f"`{c}`") for c in CLASHES)).distinct().collect()
+        assert [tuple(r) for r in kept] == [tuple(f"user's {c}" for c in CLASHES)], name
+        assert function(spark, docs.limit(0), sf).count() == 0, name
