@@ -8,29 +8,61 @@ from pyspark.sql import functions as F
 from ..functions.text import bigrams, jaccard, normalized
 from ..sources.shared import Scratch, stage
 
+#: The floor from which pairs of grams are posted; below it a set would post too many.
+PAIRED = 0.6
+
+
+def _signed(rows: DataFrame, floor: float) -> DataFrame:
+    """rows (side, id, block, grams) -> (side, id, block, n, key): keys that meet where a similarity of floor is possible.
+
+    Two sets with t grams in common share at least k of the n - t + k rarest grams of either. From PAIRED on k is 2 and a key is
+    a pair of grams, which few sets share even if every gram is common; below it is a single gram. Sets that one common gram
+    may link post single grams too.
+    """
+    k = 2 if floor >= PAIRED else 1
+    posts = rows.select("side", "id", "block", F.explode("grams").alias("gram"))
+    often = posts.groupBy("block", "gram").agg(F.count(F.lit(1)).alias("often"))
+    ordered = posts.join(often, ["block", "gram"]).groupBy("side", "id").agg(F.first("block").alias("block"), F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("g"))
+    least = f"cast(ceil({floor} * size(g)) as int)"
+    prefix = ordered.select("side", "id", "block", F.size("g").alias("n"), F.expr(least).alias("t"), F.expr(f"transform(slice(g, 1, size(g) - {least} + {k}), x -> x.gram)").alias("p"))
+    single = F.transform("p", lambda x: F.xxhash64(x))
+    if k == 1:
+        keys = single
+    else:
+        pairs = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.xxhash64(x, y))))
+        keys = F.concat(pairs, F.when(F.col("t") < k, single).otherwise(F.array().cast("array<bigint>")))
+    return prefix.select("side", "id", "block", "n", F.explode(keys).alias("key"))
+
+
+def _similar(left: DataFrame, right: DataFrame, signed: DataFrame, sides: tuple[int, int], floor: float, more: str) -> DataFrame:
+    """left (a, g_a), right (b, g_b) -> (a, b, sim) of what met by its keys and reaches floor on whole sets."""
+    one = signed.filter(f"side = {sides[0]}").select(F.col("id").alias("a"), "block", "key", F.col("n").alias("n_a"))
+    two = signed.filter(f"side = {sides[1]}").select(F.col("id").alias("b"), "block", "key", F.col("n").alias("n_b"))
+    met = one.join(two, ["block", "key"]).filter(f"{more} and n_a >= {floor} * n_b and n_b >= {floor} * n_a").select("a", "b").distinct()
+    return met.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("g_a"), F.col("g_b")).alias("sim")).filter(F.col("sim") >= floor)
+
 
 def similar_pairs(rows: DataFrame, floor: float) -> DataFrame:
     """rows (id, block, title) -> (a, b, sim) with a < b in one block and sim at least floor.
 
-    Two sets of n and m grams with a Jaccard similarity of floor share one of the n - ceil(floor * n) + 1 rarest grams of
-    either, so only those are posted. Titles that are equal once normalised are one class: they are joined to its least id.
+    Titles that are equal once normalised are one class: they are joined to its least id.
     """
     titled = rows.select("id", "block", normalized(F.col("title")).alias("norm")).filter("norm != ''")
     classes = titled.groupBy("block", "norm").agg(F.min("id").alias("a"))
-    grams = classes.select(F.col("a").alias("id"), "block", bigrams(F.col("norm")).alias("grams"))
-    posts = grams.select("id", "block", F.explode("grams").alias("gram"))
-    often = posts.groupBy("block", "gram").agg(F.count(F.lit(1)).alias("often"))
-    ordered = posts.join(often, ["block", "gram"]).groupBy("id").agg(F.first("block").alias("block"), F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("g"))
-    prefix = ordered.select("id", "block", F.size("g").alias("n"), F.explode(F.expr(f"slice(g, 1, cast(size(g) - ceil({floor} * size(g)) + 1 as int))")).alias("g")).select("id", "block", "n", "g.gram")
-    left, right = prefix.select(F.col("id").alias("a"), "block", "gram", F.col("n").alias("n_a")), prefix.select(F.col("id").alias("b"), "block", "gram", F.col("n").alias("n_b"))
-    met = left.join(right, ["block", "gram"]).filter(f"a < b and n_a >= {floor} * n_b and n_b >= {floor} * n_a").select("a", "b").distinct()
-    full = met.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("g_a")), "a").join(grams.select(F.col("id").alias("b"), F.col("grams").alias("g_b")), "b")
-    near = full.select("a", "b", jaccard(F.col("g_a"), F.col("g_b")).alias("sim")).filter(F.col("sim") >= floor)
+    grams = classes.select(F.lit(0).alias("side"), F.col("a").alias("id"), "block", bigrams(F.col("norm")).alias("grams"))
+    near = _similar(grams.select(F.col("id").alias("a"), F.col("grams").alias("g_a")), grams.select(F.col("id").alias("b"), F.col("grams").alias("g_b")), _signed(grams, floor), (0, 0), floor, "a < b")
     least = classes.select(F.col("block").alias("block_a"), F.col("norm").alias("norm_a"), "a")
     same = titled.join(least, F.col("block").eqNullSafe(F.col("block_a")) & (F.col("norm") == F.col("norm_a"))).filter("a < id").select("a", F.col("id").alias("b")).distinct().withColumn("sim", F.lit(1.0))
     return near.unionByName(same)
 
 
+def similar_between(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
+    """left, right (id, block, title) -> (a, b, sim) of a row of either side, in one block, with sim at least floor."""
+    grams = lambda rows, side: rows.select(F.lit(side).alias("side"), "id", "block", normalized(F.col("title")).alias("norm")).filter("norm != ''").select("side", "id", "block", bigrams(F.col("norm")).alias("grams"))
+    ours, theirs = grams(left, 0), grams(right, 1)
+    return _similar(ours.select(F.col("id").alias("a"), F.col("grams").alias("g_a")), theirs.select(F.col("id").alias("b"), F.col("grams").alias("g_b")), _signed(ours.union(theirs), floor), (0, 1), floor, "true")
+
+
 def first_seen(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows (id, keys...) -> (id, kept): in the order of id, a row goes iff it has a key of an earlier kept row.
 

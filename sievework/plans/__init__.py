@@ -1 +1 @@
-from . import aggregates, gates, joins, matching, rules, scalars, scans, streams, windows  # noqa: F401  each registers its queries
+from . import aggregates, gates, joins, ledgers, matching, review, rules, scalars, scans, streams, windows  # noqa: F401  each registers its queries

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bigrams, normalized
-from ..operators.similarity import components, first_seen, similar_pairs
+from ..operators.similarity import components, first_seen, similar_between, similar_pairs
 from ..sources.tables import ARTICLES_SQL, articles, table
 from .gates import identity_keys
 from .registry import query
@@ -32,7 +31,9 @@ def jn_not_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = identity_keys(articles(spark, sf_dir))
     old, new = rows.filter("published_at < timestamp_ntz'2024-01-25 00:00:00'"), rows.filter("published_at >= timestamp_ntz'2024-01-25 00:00:00'")
     left = new.join(old.select("url_key"), "url_key", "left_anti")
-    return left.join(old.filter("title_key != ''").select("title_key"), "title_key", "left_anti").select("id", "url_key")
+    untitled = left.filter("title_key = ''").select("id", "url_key")  # a key that many share, and that matches nothing
+    titled = left.filter("title_key != ''").join(old.filter("title_key != ''").select("title_key"), "title_key", "left_anti")
+    return untitled.union(titled.select("id", "url_key"))
 
 
 @query(f"with {PAIRS_SQL} select a, b, round(sim, 9) as sim from pairs")
@@ -54,22 +55,29 @@ def dd_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_seen(identity_keys(articles(spark, sf_dir)), ["url_key", "title_key"])
 
 
-@query(f"""with {ARTICLES_SQL}, c as (select id, {NORM_SQL.format(x='title')} as t from articles), b as (select item_id, {NORM_SQL.format(x='substr(text, 1, 80)')} as t from benchmark),
-g as (select id, {GRAMS_SQL.format(x='t')} as g from c where length(replace(t, ' ', '')) > 1), h as (select item_id, {GRAMS_SQL.format(x='t')} as h from b where length(replace(t, ' ', '')) > 1),
-p as (select id, item_id, len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) as sim from g, h)
-select id, item_id, round(sim, 9) as sim from p where sim >= 0.3 qualify row_number() over (partition by id order by sim desc, item_id) = 1""")
+PUBLISHED_FLOOR = 0.4
+_PUBLISHED_SQL = f"""{ARTICLES_SQL}, c as (select id, {NORM_SQL.format(x='title')} as t from articles), b as (select item_id, {NORM_SQL.format(x='text')} as t from benchmark),
+g as (select id, case when length(replace(t, ' ', '')) <= 1 then [replace(t, ' ', '')] else {GRAMS_SQL.format(x='t')} end as g from c where t != ''), h as (select item_id, case when length(replace(t, ' ', '')) <= 1 then [replace(t, ' ', '')] else {GRAMS_SQL.format(x='t')} end as h from b where t != ''),
+p as (select id, item_id, len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) as sim from g, h)"""
+
+
+def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ours = articles(spark, sf_dir).select("id", F.lit("all").alias("block"), "title")
+    theirs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("all").alias("block"), F.col("text").alias("title"))
+    return similar_between(ours, theirs, PUBLISHED_FLOOR)
+
+
+@query(f"with {_PUBLISHED_SQL} select id as a, item_id as b, round(sim, 9) as sim from p where sim >= {PUBLISHED_FLOOR}")
+def jn_published_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-06: all pairs of rows and published items over the floor; the rarest grams of either side meet."""
+    return _published(spark, sf_dir).select("a", "b", F.round("sim", 9).alias("sim"))
+
+
+@query(f"with {_PUBLISHED_SQL} select id, item_id, round(sim, 9) as sim from p where sim >= {PUBLISHED_FLOOR} qualify row_number() over (partition by id order by sim desc, item_id) = 1")
 def jn_best_published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-07, EV-12, FLT-17 and a part of JN-06 (one best item, not all pairs between countries): for each row the best title published before, if it reaches a floor.
-
-    The published titles are met by their grams, so that only pairs with something in common are counted.
-    """
-    grams = lambda rows, key, text: rows.select(key, bigrams(normalized(text)).alias("g"), F.length(F.replace(normalized(text), F.lit(" "), F.lit(""))).alias("n")).filter("n > 1").select(key, "g")
-    ours = grams(articles(spark, sf_dir), "id", F.col("title"))
-    theirs = grams(table(spark, sf_dir, "benchmark"), "item_id", F.substring("text", 1, 80))
-    met = ours.select("id", F.size("g").alias("n"), F.explode("g").alias("x")).join(theirs.select("item_id", F.size("g").alias("m"), F.explode("g").alias("x")), "x")
-    sims = met.groupBy("id", "item_id").agg((F.count(F.lit(1)) / (F.first("n") + F.first("m") - F.count(F.lit(1)))).alias("sim")).filter("sim >= 0.3")
-    best = sims.groupBy("id").agg(F.max(F.struct("sim", (-F.col("item_id")).alias("k"))).alias("b"))
-    return best.select("id", (-F.col("b.k")).alias("item_id"), F.round("b.sim", 9).alias("sim"))
+    """JN-07, EV-12, FLT-17: for each row the best item published before, if it reaches the floor."""
+    best = _published(spark, sf_dir).groupBy("a").agg(F.max(F.struct("sim", (-F.col("b")).alias("k"))).alias("p"))
+    return best.select(F.col("a").alias("id"), (-F.col("p.k")).alias("item_id"), F.round("p.sim", 9).alias("sim"))
 
 
 @query("with p as (select distinct regexp_extract(url, '^https?://([^/]+)', 1) as host, '/' || split_part(regexp_extract(url, '^https?://[^/]+([^?#]*)', 1), '/', 2) as prefix, 'family' || length(url) % 7 as family from pages union select distinct regexp_extract(url, '^https?://([^/]+)', 1), '', 'family0' from pages), q as (select page_id, regexp_extract(url, '^https?://([^/]+)', 1) as host, regexp_extract(url, '^https?://[^/]+([^?#]*)', 1) as path from pages), m as (select page_id, prefix, family, rank() over (partition by page_id order by length(prefix) desc) as r from p join q using (host) where starts_with(path, prefix)) select page_id, case when count(distinct family) = 1 then min(family) end as family from m where r = 1 group by page_id")

@@ -22,7 +22,7 @@ def canonical_sql(url: str) -> str:
 
 
 TITLE_KEY_SQL = "case when length(regexp_replace(regexp_replace(lower(title), '<[^>]*>', '', 'g'), '[^\\p{L}\\p{N}]', '', 'g')) < 10 then '' else regexp_replace(regexp_replace(lower(title), '<[^>]*>', '', 'g'), '[^\\p{L}\\p{N}]', '', 'g') end"
-NORM_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '<[^>]*>', ' ', 'g'), '[^\\p{{L}}\\p{{N}} ]', ' ', 'g'), ' +', ' ', 'g'))"
+NORM_SQL = "array_to_string(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '<[^>]*>', ' ', 'g'), '[^\\p{{L}}\\p{{N}} ]', ' ', 'g'), ' +', ' ', 'g')), ' ')[1:120], ' ')"
 GRAMS_SQL = "list_distinct(list_transform(range(1, length(replace({x}, ' ', ''))), lambda i: substr(replace({x}, ' ', ''), i, 2)))"
 
 
@@ -47,28 +47,28 @@ def url_story_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", key.alias("source_key"))
 
 
-@query(f"with {ARTICLES_SQL}, n as (select id, array_to_string(string_split({NORM_SQL.format(x='content')}, ' ')[1:120], ' ') as norm from articles) select id, norm, length(norm) as n_chars from n")
+@query(f"with {ARTICLES_SQL}, n as (select id, {NORM_SQL.format(x='content')} as norm from articles) select id, norm, length(norm) as n_chars from n")
 def str_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-01: normalised text."""
     norm = normalized(F.col("content"))
     return articles(spark, sf_dir).select("id", norm.alias("norm"), F.length(norm).cast("long").alias("n_chars"))
 
 
-@query(f"""with {ARTICLES_SQL}, n as (select id, {NORM_SQL.format(x='title')} as t, {NORM_SQL.format(x="substr(content, 1, 120)")} as c from articles),
+@query(f"""with {ARTICLES_SQL}, n as (select id, {NORM_SQL.format(x='title')} as t, {NORM_SQL.format(x='content')} as c from articles),
 g as (select id, {GRAMS_SQL.format(x='t')} as gt, {GRAMS_SQL.format(x='c')} as gc from n where length(replace(t, ' ', '')) > 1 and length(replace(c, ' ', '')) > 1)
 select id, round(len(list_intersect(gt, gc)) / (len(gt) + len(gc) - len(list_intersect(gt, gc))), 9) as sim from g""")
 def str_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-02, STR-03, SET-07: bigram similarity of a title and the start of its text."""
-    rows = articles(spark, sf_dir).select("id", normalized(F.col("title")).alias("t"), normalized(F.substring("content", 1, 120)).alias("c"))
+    """STR-02, STR-03, SET-07: bigram similarity of a title and its text."""
+    rows = articles(spark, sf_dir).select("id", normalized(F.col("title")).alias("t"), normalized(F.col("content")).alias("c"))
     long_enough = (F.length(F.replace("t", F.lit(" "), F.lit(""))) > 1) & (F.length(F.replace("c", F.lit(" "), F.lit(""))) > 1)
     return rows.filter(long_enough).select("id", F.round(jaccard(bigrams(F.col("t")), bigrams(F.col("c"))), 9).alias("sim"))
 
 
-@query(f"with {ARTICLES_SQL}, c as (select id, list_distinct(string_split(title, '')) as a, list_distinct(string_split(substr(content, 1, 80), '')) as b from articles where length(title) > 0) select id, len(list_intersect(a, b)) / greatest(len(a), len(b)) as overlap from c")
+@query(f"with {ARTICLES_SQL}, c as (select id, list_distinct(string_split(title, '')) as a, list_distinct(string_split(content, '')) as b from articles where length(title) > 0) select id, len(list_intersect(a, b)) / greatest(len(a), len(b)) as overlap from c")
 def str_title_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-05: character-set overlap."""
     chars = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
-    a, b = chars(F.col("title")), chars(F.substring("content", 1, 80))
+    a, b = chars(F.col("title")), chars(F.col("content"))
     return articles(spark, sf_dir).filter(F.length("title") > 0).select("id", (F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b))).alias("overlap"))
 
 

@@ -89,10 +89,10 @@ def win_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(so_far).alias("section"), F.last(head, ignorenulls=True).over(so_far).alias("opened_at"))
 
 
-@query("with h as (select distinct extract(hour from ts) as hour from events where user_id % 3 = 0) select cast(hour as int) as hour, cast(coalesce(lag(hour) over (order by hour), (select max(hour) from h) - 24) as int) as since from h")
+@query("with h as (select distinct extract(hour from ts) as hour from events) select cast(hour as int) as hour, cast(coalesce(lag(hour) over (order by hour), (select max(hour) from h) - 24) as int) as since from h")
 def win_previous_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-08: the slot before, wrapping over midnight. At most 24 rows are left when they are put in order."""
-    hours = table(spark, sf_dir, "events").filter("user_id % 3 = 0").select(F.hour("ts").alias("hour")).distinct()
+    hours = table(spark, sf_dir, "events").select(F.hour("ts").alias("hour")).distinct()
     slots = hours.agg(F.sort_array(F.collect_set("hour")).alias("h"))
     return slots.select(F.explode(F.expr("transform(h, (x, i) -> struct(x as hour, case when i = 0 then h[size(h) - 1] - 24 else h[i - 1] end as since))")).alias("x")).select("x.*")
 

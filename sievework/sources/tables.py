@@ -9,7 +9,7 @@ CATEGORIES = ("economy", "energy", "culture", "sports", "finance")
 
 #: The same view in DuckDB SQL, as the first of a query's common table expressions.
 ARTICLES_SQL = """articles as (
-  select doc_id as id, trim(substr(split_part(coalesce(text, ''), chr(10), 1), 1, 80)) as title, coalesce(text, '') as content, lang as country, source,
+  select doc_id as id, trim(split_part(coalesce(text, ''), chr(10), 1)) as title, coalesce(text, '') as content, lang as country, source,
     ['economy', 'energy', 'culture', 'sports', 'finance'][doc_id % 5 + 1] as category,
     timestamp '2024-01-01 00:00:00' + to_minutes(cast(doc_id * 37 % 43200 as integer)) as published_at,
     'https://' || case when doc_id % 3 = 0 then 'www.' else '' end || 'news' || doc_id % 40 || '.example.org/story/' || doc_id % 900 ||
@@ -30,7 +30,7 @@ def as_articles(documents: DataFrame) -> DataFrame:
     names = ", ".join(f"'{c}'" for c in CATEGORIES)
     return documents.select(
         F.col("doc_id").alias("id"),
-        F.expr("trim(substr(split_part(coalesce(text, ''), '\\n', 1), 1, 80))").alias("title"),
+        F.expr("trim(split_part(coalesce(text, ''), '\\n', 1))").alias("title"),
         F.coalesce("text", F.lit("")).alias("content"),
         F.col("lang").alias("country"),
         "source",
