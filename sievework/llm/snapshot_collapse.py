@@ -53,8 +53,8 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), text("role"), text("text")).alias("t"))
     gathered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_set("t")).alias("turns"))
     hashed = stage(gathered.mapInArrow(_hash_batches, _HASHED), "prefixes")
-    full = hashed.select("conv_id", "n_turns", F.element_at("hashes", -1).alias("whole"), "rendered")
-    first = full.groupBy("whole").agg(F.min("conv_id").alias("first_id"))
+    # texts are met by conv_id, which is one row each, so that many equal conversations don't gather their texts in a task
+    first = hashed.select("conv_id", F.element_at("hashes", -1).alias("whole")).groupBy("whole").agg(F.min("conv_id").alias("first_id"))
     proper = hashed.select(F.explode(F.expr("slice(hashes, 1, size(hashes) - 1)")).alias("whole")).distinct()
-    maximal = first.join(proper, "whole", "left_anti")
-    return full.join(maximal.select(F.col("whole").alias("w"), "first_id"), (F.col("whole") == F.col("w")) & F.col("conv_id").eqNullSafe(F.col("first_id"))).select("conv_id", "n_turns", "rendered")
+    maximal = first.join(proper, "whole", "left_anti").select("first_id")
+    return hashed.join(maximal, F.col("conv_id").eqNullSafe(F.col("first_id"))).select("conv_id", "n_turns", "rendered")
