@@ -29,7 +29,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_path, new_path, stage
+from .shared import Scratch, drop_path, new_path, stage
 
 MIN_REVISIT_BYTES = 0
 CHUNK = 1 << 18
@@ -202,10 +202,13 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     keyed = rows.withColumn("payload", F.sha2("html", 256))
-    firsts = rows.select("page_id", F.sha2("html", 256).alias("payload")).groupBy("payload").agg(F.min("page_id").alias("first_id"))
+    stages = Scratch(spark)
+    # staged, so that both sides of the join come straight from a shuffle and a payload of very many pages is split
+    firsts = stages(rows.select("page_id", F.sha2("html", 256).alias("payload")).groupBy("payload").agg(F.min("page_id").alias("first_id")), "firsts")
     plan = keyed.join(firsts, "payload")
     raw_folder, folder = new_path(spark, "warc-raw"), new_path(spark, "warc")
     written = stage(write_archives(plan, raw_folder), "archives")
     normal = stage(normalise_archives(written.repartition(spark.sparkContext.defaultParallelism * 2, "path"), folder), "normalised")
+    stages.drop()
     drop_path(spark, raw_folder)
     return read_archives(normal.repartition(spark.sparkContext.defaultParallelism * 2, "path"), folder)
