@@ -63,28 +63,37 @@ def similar_between(left: DataFrame, right: DataFrame, floor: float) -> DataFram
     return _similar(ours.select(F.col("id").alias("a"), F.col("grams").alias("g_a")), theirs.select(F.col("id").alias("b"), F.col("grams").alias("g_b")), _signed(ours.union(theirs), floor), (0, 1), floor, "true")
 
 
-def first_seen(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows (id, keys...) -> (id, kept): in the order of id, a row goes iff it has a key of an earlier kept row.
+def first_seen(rows: DataFrame, keys: list[str], rivals: DataFrame | None = None) -> DataFrame:
+    """rows (id, keys...) -> (id, kept): in the order of id, a row goes iff it has a key of an earlier kept row, or one of its
+    rivals (x, y: a row and an earlier one) is kept.
 
-    Only kept rows own their keys. Each round keeps the rows that are first on all their keys and drops those that share a
-    key with one kept before; both are aggregations, so that a key held by very many rows is never gathered.
-    Empty and null keys match nothing.
+    Only kept rows own their keys. Each round keeps the rows that are first on all their keys and have no open rival, and drops
+    those that share a key with one kept before or have a kept rival; all are aggregations and semi joins, so that a key held by
+    very many rows is never gathered. Empty and null keys match nothing.
     """
     stages = Scratch(rows.sparkSession)
     pairs = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")) for k in keys))
     posted = lambda df: df.select("id", F.explode(pairs).alias("p")).select("id", "p.*").filter("key is not null and key != ''")
     open_rows, decided = stages(rows.select("id", *keys), "open"), rows.select("id", F.lit(True).alias("kept")).limit(0)
+    links = None if rivals is None else stages(rivals.select("x", "y").distinct(), "rivals")
     while True:
         posts = posted(open_rows)
         first = stages(posts.groupBy("kind", "key").agg(F.min("id").alias("first")), "first")
-        blocked = posts.join(first, ["kind", "key"]).filter("id > first").select("id").distinct()
-        kept = stages(open_rows.join(blocked, "id", "left_anti"), "kept")
+        blocked = posts.join(first, ["kind", "key"]).filter("id > first").select("id")
+        if links is not None:
+            blocked = blocked.union(links.select(F.col("x").alias("id")))
+        kept = stages(open_rows.join(blocked.distinct(), "id", "left_anti"), "kept")
         if kept.isEmpty():
             break
-        gone = posts.join(posted(kept).drop("id").distinct(), ["kind", "key"], "left_semi").join(kept.select("id"), "id", "left_anti").select("id").distinct()
+        gone = posts.join(posted(kept).drop("id").distinct(), ["kind", "key"], "left_semi").select("id")
+        if links is not None:
+            gone = gone.union(links.join(kept.select(F.col("id").alias("y")), "y", "left_semi").select("x"))
+        gone = gone.join(kept.select("id"), "id", "left_anti").distinct()
         now = stages(kept.select("id", F.lit(True).alias("kept")).union(gone.select("id", F.lit(False))), "decided")
         decided = decided.union(now)
         open_rows = stages(open_rows.join(now.select("id"), "id", "left_anti"), "open")
+        if links is not None:
+            links = stages(links.join(now.select(F.col("id").alias("x")), "x", "left_anti").join(now.select(F.col("id").alias("y")), "y", "left_anti"), "rivals")
     out = stage(decided, "first-seen")
     stages.drop()
     return out

@@ -1,6 +1,6 @@
 import random
 
-from sievework.operators.similarity import components, first_seen, similar_pairs
+from sievework.operators.similarity import components, first_seen, similar_between, similar_pairs
 
 
 def test_only_kept_rows_own_their_keys(spark):
@@ -35,3 +35,35 @@ def test_similar_pairs_gathers_no_title(spark):
     pairs = similar_pairs(spark.createDataFrame(rows, "id long, block string, title string"), 0.9)
     assert sorted((r.a, r.b, r.sim) for r in pairs.collect()) == [(1, 2, 1.0), (1, 3, 1.0), (8, 9, 1.0)]
     assert "collect_set" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keys_and_rivals_equal_a_fold(spark):
+    rng = random.Random(4)
+    data = [(i, f"u{rng.randrange(40)}") for i in range(70)]
+    rivals = {tuple(sorted(rng.sample(range(70), 2), reverse=True)) for _ in range(40)}
+    seen, want = set(), {}
+    for i, u in data:
+        want[i] = u not in seen and not any(want[y] for x, y in rivals if x == i)
+        if want[i]:
+            seen.add(u)
+    found = first_seen(spark.createDataFrame(data, "id long, u string"), ["u"], spark.createDataFrame(sorted(rivals), "x long, y long"))
+    assert {r.id: r.kept for r in found.collect()} == want
+
+
+def test_similar_titles_against_all_pairs(spark):
+    """Every pair that brute force finds, at floors above and below the one from which pairs of grams are posted."""
+    rng = random.Random(7)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    titles = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))) for _ in range(120)] + ["a", "b", "ab", "abc", "a b c", "abcd", "", "  "]
+    grams = [{t.replace(" ", "")[k : k + 2] for k in range(max(1, len(t.replace(" ", "")) - 1))} for t in titles]
+    for floor in (0.3, 0.65, 0.9):
+        want = {(a, b) for b in range(len(titles)) for a in range(b) if titles[a].strip() and titles[b].strip() and len(grams[a] & grams[b]) >= floor * len(grams[a] | grams[b])}
+        rows = spark.createDataFrame([(i, "x", t) for i, t in enumerate(titles)], "id long, block string, title string")
+        least = {}
+        for i, t in enumerate(titles):
+            least.setdefault(" ".join(t.split()), i)
+        same = {tuple(sorted((least[" ".join(titles[a].split())], least[" ".join(titles[b].split())]))) for a, b in want}
+        got = {(r.a, r.b) for r in similar_pairs(rows, floor).collect()}
+        assert {p for p in got if " ".join(titles[p[0]].split()) != " ".join(titles[p[1]].split())} == {p for p in same if p[0] != p[1]}
+        between = {(r.a, r.b) for r in similar_between(rows.filter("id < 60"), rows.filter("id >= 60"), floor).collect()}
+        assert between == {(a, b) for a, b in want if a < 60 <= b}
