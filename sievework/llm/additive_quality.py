@@ -5,11 +5,13 @@ over its bins. The pairs of features that reduce the loss most get tables over c
 a sum of table entries, read for a whole Arrow batch at once.
 
 The model is fitted on at most SAMPLE_ROWS labelled rows outside the held-out share, those with the least hash of doc_id;
-what a document is scored by comes from its text alone. Features of every whole text are computed in one pass and staged.
+what a document is scored by comes from its text alone. Every whole text is read and scored in one pass, and nothing is staged
+but the sample's ids.
 
-Defined cases: null and empty texts have the features of the empty text and get a score; labels without a document, null
-labels and null doc_ids don't train; a doc_id labelled twice takes its highest label; repeated rows are scored alike; without
-any usable label every score is 1; an empty table gives no rows; other columns are ignored.
+Defined cases: null and empty texts have the features of the empty text and get a score; a text of any length is read whole;
+labels without a document, null labels and null doc_ids don't train; a doc_id labelled twice takes its highest label; repeated
+rows are scored alike; without any usable label nothing can be told apart and every score is 1; an empty table gives no rows;
+other columns are ignored, or kept as they are by passing_documents, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +23,11 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import Scratch, quoted
 
 SAMPLE_ROWS, HELD_OUT = 20_000, 2
 THRESHOLD = 0.7
@@ -58,16 +59,15 @@ def text_features(text: str) -> list[float]:
     ]
 
 
-def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = np.array([text_features(v.as_py() or "") for v in batch.column(1)], dtype=np.float64).reshape(-1, len(FEATURES))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, i].copy()) for i in range(len(FEATURES)))], names=["doc_id", *FEATURES])
+def feature_rows(texts: pa.Array) -> np.ndarray:
+    """Features of whole texts, a row each."""
+    return np.array([text_features(v.as_py() or "") for v in texts], dtype=np.float64).reshape(-1, len(FEATURES))
 
 
-def document_features(docs: DataFrame) -> DataFrame:
-    """doc_id and the features of every row's whole text."""
-    schema = "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_feature_batches, schema)
+def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = feature_rows(batch.column(2))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(rows[:, i].copy()) for i in range(len(FEATURES)))], names=["doc_id", "quality", *FEATURES])
 
 
 def is_held_out() -> Column:
@@ -179,51 +179,43 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
     return model
 
 
-def training_rows(features: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """At most SAMPLE_ROWS rows of features with their labels, none held out."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of at most SAMPLE_ROWS rows of docs, none held out."""
+    stages = Scratch(docs.sparkSession)
     known = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
-    rows = features.filter(~is_held_out()).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).toArrow()
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(~is_held_out()).join(known, "doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = stages(ids.orderBy(*order).limit(SAMPLE_ROWS).distinct(), "sample")
+    # broadcast: the sample has SAMPLE_ROWS rows at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    features = texts.mapInArrow(_feature_batches, "doc_id long, quality int, " + ", ".join(f"{f} double" for f in FEATURES))
+    rows = features.orderBy(*order, *FEATURES).limit(SAMPLE_ROWS).toArrow()
+    stages.drop()
     x = np.column_stack([rows.column(f).to_numpy() for f in FEATURES]) if rows.num_rows else np.zeros((0, len(FEATURES)))
     return x, rows.column("quality").to_numpy().astype(float)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    features = stage(document_features(docs), "features")
-    model = fit(*training_rows(features, labels))
+    model = fit(*training_rows(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.column_stack([batch.column(i + 1).to_numpy() for i in range(len(FEATURES))]) if batch.num_rows else np.zeros((0, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(feature_rows(batch.column(1))))], names=["doc_id", "score"])
 
-    scored = features.select("doc_id", *FEATURES).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def _carried(docs: DataFrame) -> DataFrame:
-    """Every column of docs as _in_0, _in_1, ... with the features of its text, in one pass over the texts."""
-    fields = docs.schema.fields
-    schema = ", ".join(f"_in_{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)) + ", doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)
-    names = [f"_in_{i}" for i in range(len(fields))] + ["doc_id"]
+def passing_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is at least threshold, with the columns of docs; no text is shuffled."""
+    model, fields = fit(*training_rows(docs, labels)), docs.schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([text_features(v.as_py() or "") for v in batch.column(0)], dtype=np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(rows[:, i].copy()) for i in range(len(FEATURES)))], names=[*names, *FEATURES])
-
-    return docs.select(F.col("text").cast("string").alias("_text"), *(F.col(f.name).alias(f"_in_{i}") for i, f in enumerate(fields)), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, schema)
-
-
-def passing_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score is at least threshold, with the columns of docs. Rows and features are staged together,
-    so that no text is shuffled and none is read twice by Python."""
-    carried = stage(_carried(docs), "carried")
-    model = fit(*training_rows(carried.select("doc_id", *FEATURES), labels))
-    fields = docs.schema.fields
-
-    @F.pandas_udf("double")
-    def score(*columns: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.column_stack([c.to_numpy() for c in columns])))
+            passes = pa.array(model.score(feature_rows(batch.column(0))) >= threshold)
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]).filter(passes)
 
-    return carried.filter(score(*FEATURES) >= threshold).select(*(F.col(f"_in_{i}").alias(f.name) for i, f in enumerate(fields)))
+    carried = docs.select(F.col("text").cast("string"), *(F.col(quoted(f.name)).alias(f"in_{i}") for i, f in enumerate(fields)))
+    out = carried.mapInArrow(run, ", ".join(f"in_{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)))
+    return out.select(*(F.col(f"in_{i}").alias(f.name) for i, f in enumerate(fields)))
