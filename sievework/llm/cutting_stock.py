@@ -132,20 +132,41 @@ def best_pattern(value: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float
     return float(best[room]), counts
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan elimination with row pivots, elementwise: threaded routines were seen to hang beside a session."""
+    n = len(matrix)
+    work = np.concatenate([matrix, np.eye(n)], axis=1)
+    for k in range(n):
+        pivot = k + int(np.abs(work[k:, k]).argmax())
+        if pivot != k:
+            work[[k, pivot]] = work[[pivot, k]]
+        work[k] /= work[k, k]
+        factors = work[:, k].copy()
+        factors[k] = 0
+        rows = np.flatnonzero(factors)
+        work[rows] -= factors[rows, None] * work[k]
+    return work[:, n:]
+
+
 def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, max_rounds: int = MAX_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Column generation for the least number of sequences: (patterns as columns, their fractional multiplicities).
 
-    A revised simplex over one row for each bin. Stopped early (max_rounds) it still covers the demand.
+    A revised simplex over one row for each bin. It ends when no pattern is worth more than a sequence, or when Farley's bound
+    shows that no more than half a sequence can be saved; stopped early (max_rounds) it still covers the demand. A pattern has
+    few sizes, so products are summed over these; threaded matrix products would wait for cores that other tasks hold.
     """
     m = len(sizes)
     patterns = np.diag(room // sizes).astype(float)
     inverse = np.diag(1.0 / np.diag(patterns))
-    x = inverse @ demand
+    x, bound = (inverse * demand).sum(axis=1), 0.0
     for rounds in range(max_rounds):
-        value, counts = best_pattern(inverse.sum(axis=0), sizes, room)
-        if value <= 1 + 1e-7:
+        price = inverse.sum(axis=0)
+        value, counts = best_pattern(price, sizes, room)
+        bound = max(bound, float((price * demand).sum()) / max(value, 1.0))
+        if value <= 1 + 1e-7 or x.sum() - bound < 0.5:
             break
-        direction = inverse @ counts
+        used = np.flatnonzero(counts)
+        direction = (inverse[:, used] * counts[used]).sum(axis=1)
         usable = direction > 1e-9
         ratio = np.where(usable, x / np.where(usable, direction, 1), np.inf)
         out = int(ratio.argmin())
@@ -157,8 +178,8 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, max_rounds:
         inverse -= np.outer(direction, row)
         inverse[out] = row
         if rounds % 300 == 299:  # rounding errors don't pile up
-            inverse = np.linalg.inv(patterns)
-            x = np.maximum(inverse @ demand, 0)
+            inverse = inverted(patterns)
+            x = np.maximum((inverse * demand).sum(axis=1), 0)
     assert patterns.shape == (m, m)
     return patterns.astype(np.int64), x
 
@@ -170,7 +191,7 @@ def plan_sequences(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[np
     patterns, x = solve_patterns(sizes, demand.astype(float), room)
     times = np.floor(x + 1e-6).astype(np.int64)
     rows, uses = [patterns[:, p] for p in np.flatnonzero(times)], [int(t) for t in times[times > 0]]
-    left = np.maximum(demand - patterns @ times, 0)
+    left = np.maximum(demand - (patterns * times).sum(axis=1), 0)
     while left.any():  # at most one fractional pattern for each bin is left: best fit decreasing, equal sequences at once
         space, one = room, np.zeros(len(sizes), dtype=np.int64)
         for k in range(len(sizes) - 1, -1, -1):
