@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Recent, stage
+from .shared import Recent, Scratch, fresh, stage
 
 SHINGLE, SIMILARITY = 5, 75
 COORDINATES, THRESHOLD = 64, 31
@@ -119,10 +119,10 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(_TEXT_HASH).alias("text_hash"), F.col("text").cast("string").alias("text"))
 
 
-def prefix_posts(classes: DataFrame) -> DataFrame:
+def prefix_posts(classes: DataFrame, stages: Scratch) -> DataFrame:
     """(key, node): the posts of each class's prefix, values that no other class holds left out."""
     posts = classes.select("node", F.explode("keys").alias("key"))
-    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    shared = stages(posts.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "shared")  # staged: a hot key's join is split
     ordered = posts.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "key"))).alias("values"))
     enough = ordered.filter(F.size("values") >= THRESHOLD)
     return enough.select("node", F.explode(F.expr(f"slice(values, 1, size(values) - {THRESHOLD - 1})")).alias("value")).select("value.key", "node")
@@ -162,21 +162,21 @@ def _may_link(n: str, most: str, bits: str, other_n: str, other_most: str, other
     return f"{n} <= {other_most} and {other_n} <= {most} and 100 * {n} >= {SIMILARITY} * {other_n} and 100 * {other_n} >= {SIMILARITY} * {n} and {100 - SIMILARITY} * ({n} + {other_n}) >= {100 + SIMILARITY} * ({differ})"
 
 
-def links_between_classes(classes: DataFrame, sets_of) -> DataFrame:
+def links_between_classes(classes: DataFrame, sets_of, stages: Scratch) -> DataFrame:
     """(node, comp) of the classes that are linked to another one. sets_of: from nodes to their shingle sets."""
-    posts = stage(prefix_posts(classes), "posts")
+    posts = stages(prefix_posts(classes, stages), "posts")
     nodes = posts.select("node").distinct()
-    sets = stage(sets_of(classes.join(nodes, "node")), "sets")
-    sized = stage(size_bounds(sets), "sizes")
-    few = stage(classes.join(sized.select("node"), "node").select("node", "keys"), "active")
+    sets = stages(sets_of(classes.join(nodes, "node")), "sets")
+    sized = stages(size_bounds(sets), "sizes")
+    few = stages(classes.join(sized.select("node"), "node").select("node", "keys"), "active")
     sets = sets.join(sized.select("node"), "node", "left_semi").select("node", "shingles")
-    posts = stage(posts.join(sized, "node"), "posts")
+    posts = stages(posts.join(sized, "node"), "posts")
     labels, found = few.select("node", F.col("node").alias("comp")), None
     for star in range(STAR_ROUNDS + 1):
         labelled = posts.join(labels, "node")
         sizes = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-        open_keys = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-        open_posts = stage(labelled.join(open_keys, "key").select("key", "node", "n", "most", "bits", "comp", (F.col("comp") != F.col("main.comp")).alias("minor")), "open")
+        open_keys = stages(sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1"), "open-keys")
+        open_posts = stages(labelled.join(open_keys, "key").select("key", "node", "n", "most", "bits", "comp", (F.col("comp") != F.col("main.comp")).alias("minor")), "open")
         if open_posts.isEmpty():
             break
         if star == STAR_ROUNDS:  # every member outside a list's largest component with every member of another one that has a size it can be linked with
@@ -186,36 +186,39 @@ def links_between_classes(classes: DataFrame, sets_of) -> DataFrame:
             pairs = outside.join(inside, ["key", "band"]).filter(f"comp_x != comp_y and (not minor_y or x < y) and {_may_link('n_x', 'most_x', 'bits_x', 'n_y', 'most_y', 'bits_y')}")
         else:  # the leader is the member that shares most, or, later, any other one
             order = F.struct(F.col("n") / (F.col("most") + F.col("n")), "node") if star == 0 else F.struct(F.xxhash64("node", F.lit(star)), "node")
-            leaders = open_posts.groupBy("key").agg(F.min_by(F.struct("node", "comp", "n", "most", "bits"), order).alias("leader"))
+            leaders = stages(open_posts.groupBy("key").agg(F.min_by(F.struct("node", "comp", "n", "most", "bits"), order).alias("leader")), "leaders")
             pairs = open_posts.join(leaders, "key").filter(f"comp != leader.comp and {_may_link('n', 'most', 'bits', 'leader.n', 'leader.most', 'leader.bits')}").select(F.col("node").alias("x"), F.col("leader.node").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        new = stage(confirmed(pairs, few, sets), "links")
+        new = stages(confirmed(pairs, few, sets), "links")
         found = new if found is None else found.union(new)
-        labels = few.select("node").join(stage(connected_components(found), "components"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+        labels = few.select("node").join(connected_components(found), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
     return labels
 
 
 def _placed_rows(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash (of rows without an id), n_shingles, component_id, kept for every row of docs."""
-    plain = _plain(docs)
-    sketch = stage(plain.mapInArrow(_sketches, _SKETCH), "sketch")
+    plain, stages = _plain(docs), Scratch(docs.sparkSession)
+    sketch = stages(plain.mapInArrow(_sketches, _SKETCH), "sketch")
     # a class's rows have equal keys; first_hash finds the text of a class without ids
     classes = sketch.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.expr("case when min(doc_id) is null then min(text_hash) end").alias("first_hash"), F.first("keys").alias("keys"))
-    classes = stage(classes, "classes")
+    classes = stages(classes, "classes")
 
     def sets_of(few: DataFrame) -> DataFrame:
         wanted = few.select("first_id", "first_hash", "node")
         met = F.col("first_id").eqNullSafe(F.col("doc_id")) & F.col("first_hash").eqNullSafe(F.col("text_hash"))
         return wanted.join(plain, met).select("node", "text").mapInArrow(_sets, "node binary, shingles array<long>, bits array<long>").dropDuplicates(["node"])
 
-    labels = links_between_classes(classes, sets_of)
+    labels = links_between_classes(classes, sets_of, stages)
     lowest = classes.select("node", "first_id").join(labels, "node")
-    lowest = lowest.join(lowest.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.min("node").alias("main")), "comp").select("node", "component_id", "main")
+    least = stages(lowest.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.min("node").alias("main")), "least")
+    lowest = lowest.join(least, "comp").select("node", "component_id", "main")
     by_class = classes.select("node", "first_id", "first_hash").join(lowest, "node", "left").select(F.col("node").alias("place"), F.coalesce("component_id", "first_id").alias("component_id"), F.expr("case when coalesce(main, node) = node then first_hash end").alias("kept_hash"))
     placed = sketch.select("doc_id", "text_hash", "n_shingles", F.coalesce("node", F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "utf-8")).alias("place"))
     out = placed.join(by_class, "place", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "kept_hash")
     kept = F.expr("doc_id <=> component_id and (doc_id is not null or n_shingles = 0 or text_hash <=> kept_hash)")
-    return out.withColumn("kept", kept).drop("kept_hash")
+    out = stage(out.withColumn("kept", kept).drop("kept_hash"), "near")
+    stages.drop()
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -226,6 +229,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, the one with the least doc_id; rows that repeat that doc_id stay with it, and
     rows without ids stay or go by their text."""
-    gone = _placed_rows(docs).filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct()
-    met = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & F.expr(_TEXT_HASH).eqNullSafe(F.col("_gone_text"))
+    gone_id, gone_text = fresh(docs, "gone_id", "gone_text")
+    gone = _placed_rows(docs).filter("not kept").select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_text)).distinct()
+    met = F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & F.expr(_TEXT_HASH).eqNullSafe(F.col(gone_text))
     return docs.join(gone, met, "left_anti")
