@@ -3,11 +3,13 @@
 A score-ordered agenda holds the adjacent symbol pairs whose join is a piece; the best score (then the leftmost pair) is
 merged until no pair is left, and what is no piece falls back to bytes. No piece of such a vocabulary holds the space mark
 after another character, and none holds a line feed, so a text falls into segments that can't merge with one another; a
-segment falls further apart between two characters that no piece holds side by side. A worker keeps a bounded memo of both. In every Arrow batch the new segments, and the batch's first
-document as a whole, are checked against the sentencepiece library; a difference raises an error.
+segment falls further apart between two characters that no piece holds side by side. A worker keeps a bounded memo of both. In
+every Arrow batch the new segments, and the batch's first document as a whole, are checked against the sentencepiece library; a
+difference raises an error.
 
-Defined cases: a null text is the empty text (only the begin and end ids); each input row gives one row; a null doc_id is
-kept; other columns are ignored.
+Defined cases: a null text is the empty text (only the begin and end ids); a text of any length is read whole; each input row
+gives one row, repeated rows alike; a null doc_id is kept; other columns are ignored, whatever their names; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from .shared import Recent
 MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-CACHE_SEGMENTS = 200_000
+#: Entries of a worker's memos, each held twice at most: about 220 bytes an entry, so 350 MB.
+CACHE_SEGMENTS, CACHE_PARTS = 500_000, 300_000
 
 
 class PieceCodec:
@@ -58,7 +61,7 @@ class PieceCodec:
         crossing = [p for p in self.pieces if re.search(f"[^{MARK}]{MARK}", p) or "\n" in p]
         if crossing or len(byte_ids) != 256 or lib.normalize(" a  Ⅳ b ") != f"{MARK}{MARK}a{MARK}{MARK}Ⅳ{MARK}b{MARK}":
             raise ValueError("a merge-type vocabulary with byte fallback, plain normalisation and no piece across words is needed")
-        self.parts = Recent(self._ids_of_part, CACHE_SEGMENTS)
+        self.parts = Recent(self._ids_of_part, CACHE_PARTS)
         self.segments = Recent(self._ids_of_segment, CACHE_SEGMENTS)
         self.fresh: list[tuple[str, bytes]] = []
 
