@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import ARTICLES_SQL, articles, table
 from .registry import query
 
-CHANNELS = "kz:@alpha@beta, uz:@gamma, kg:@delta@alpha, bad"
+def channel_rows(settings: DataFrame) -> DataFrame:
+    """settings (setting: 'kz:@a@b, uz:@c', malformed parts are left out) -> country, channel."""
+    part = settings.select(F.explode(F.split("setting", ",")).alias("part"))
+    return part.select(F.trim(F.split_part("part", F.lit(":"), F.lit(1))).alias("country"), F.explode(F.regexp_extract_all(F.split_part("part", F.lit(":"), F.lit(2)), F.lit("@([a-z0-9_]+)"), F.lit(1))).alias("channel"))
 
 
-@query(f"with p as (select unnest(string_split('{CHANNELS}', ',')) as part) select trim(split_part(part, ':', 1)) as country, unnest(regexp_extract_all(split_part(part, ':', 2), '@([a-z]+)', 1)) as channel from p")
+@query("select lower(n_name) as country, unnest(['ch' || n_nationkey, 'news_' || n_regionkey]) as channel from nation")
 def src_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-05: channel settings as rows."""
-    part = spark.range(1).select(F.explode(F.split(F.lit(CHANNELS), ",")).alias("part"))
-    return part.select(F.trim(F.split_part("part", F.lit(":"), F.lit(1))).alias("country"), F.explode(F.regexp_extract_all(F.split_part("part", F.lit(":"), F.lit(2)), F.lit("@([a-z]+)"), F.lit(1))).alias("channel"))
+    """SRC-05: channel settings as rows. A setting for each region is put together here."""
+    one = F.concat(F.lower("n_name"), F.lit(":@ch"), F.col("n_nationkey").cast("string"), F.lit("@news_"), F.col("n_regionkey").cast("string"))
+    settings = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat(F.array_join(F.collect_list(one), ", "), F.lit(", bad")).alias("setting"))
+    return channel_rows(settings)
 
 
 @query("select d.doc_id, case when length(coalesce(d.text, '')) < 60 then 'page' else 'feed' end as via, case when length(coalesce(d.text, '')) < 60 then length(p.html) else length(d.text) end as n from documents d left join pages p on p.page_id = d.doc_id")
@@ -43,8 +47,9 @@ def src_recent_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snk_event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-09, STM-06: an event's id is the hash of what it says, and an event is stored once."""
     key = F.sha2(F.concat_ws("|", "user_id", "event_type", "props"), 256)
-    first = Window.partitionBy("user_id", "event_type", "props").orderBy("event_id")
-    return table(spark, sf_dir, "events").select("event_id", key.alias("event_key"), (F.row_number().over(first) == 1).alias("stored"))
+    events = table(spark, sf_dir, "events")
+    first = events.groupBy("user_id", "event_type", "props").agg(F.min("event_id").alias("first_id")).select("first_id")
+    return events.join(first, F.col("event_id") == F.col("first_id"), "left").select("event_id", key.alias("event_key"), F.col("first_id").isNotNull().alias("stored"))
 
 
 @query(f"with {ARTICLES_SQL} select id, case when title = '' then 'no_title' when country is null then 'no_country' end as error from articles")
