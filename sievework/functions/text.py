@@ -17,9 +17,9 @@ def normalized(text: Column, words: int = 120) -> Column:
 
 def bigrams(text: Column) -> Column:
     """Distinct two-character strings of a text without spaces; a text of at most one character is its own."""
-    dense = F.replace(text, F.lit(" "), F.lit(""))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(dense) - 1), lambda i: F.substr(dense, i, F.lit(2)))
-    return F.when(F.length(dense) <= 1, F.array(dense)).otherwise(F.array_distinct(pairs))
+    pairs = lambda d: F.transform(F.sequence(F.lit(1), F.length(d) - 1), lambda i: F.substr(d, i, F.lit(2)))
+    one = lambda d: F.when(F.length(d) <= 1, F.array(d)).otherwise(F.array_distinct(pairs(d)))
+    return F.get(F.transform(F.array(F.replace(text, F.lit(" "), F.lit(""))), one), F.lit(0))  # the dense text is made once, not for each pair
 
 
 def jaccard(a: Column, b: Column) -> Column:

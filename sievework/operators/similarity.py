@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, jaccard, normalized
@@ -12,6 +12,11 @@ from ..sources.shared import Scratch, stage
 PAIRED = 0.6
 
 
+def _coded(text: Column) -> Column:
+    """A normalised text's bigrams as numbers, one for each, which move and compare faster than strings."""
+    return F.transform(bigrams(text), lambda g: F.ascii(g).cast("long") * (1 << 21) + F.ascii(F.substr(g, F.lit(2))))
+
+
 def _signed(rows: DataFrame, floor: float) -> DataFrame:
     """rows (side, id, block, grams) -> (side, id, block, n, key): keys that meet where a similarity of floor is possible.
 
@@ -48,19 +53,25 @@ def similar_pairs(rows: DataFrame, floor: float) -> DataFrame:
     Titles that are equal once normalised are one class: they are joined to its least id.
     """
     titled = rows.select("id", "block", normalized(F.col("title")).alias("norm")).filter("norm != ''")
-    classes = titled.groupBy("block", "norm").agg(F.min("id").alias("a"))
-    grams = classes.select(F.lit(0).alias("side"), F.col("a").alias("id"), "block", bigrams(F.col("norm")).alias("grams"))
+    stages = Scratch(rows.sparkSession)
+    classes = stages(titled.groupBy("block", "norm").agg(F.min("id").alias("a")), "classes")
+    grams = stages(classes.select(F.lit(0).alias("side"), F.col("a").alias("id"), "block", _coded(F.col("norm")).alias("grams")), "grams")
     near = _similar(grams.select(F.col("id").alias("a"), F.col("grams").alias("g_a")), grams.select(F.col("id").alias("b"), F.col("grams").alias("g_b")), _signed(grams, floor), (0, 0), floor, "a < b")
     least = classes.select(F.col("block").alias("block_a"), F.col("norm").alias("norm_a"), "a")
     same = titled.join(least, F.col("block").eqNullSafe(F.col("block_a")) & (F.col("norm") == F.col("norm_a"))).filter("a < id").select("a", F.col("id").alias("b")).distinct().withColumn("sim", F.lit(1.0))
-    return near.unionByName(same)
+    out = stage(near.unionByName(same), "pairs")
+    stages.drop()
+    return out
 
 
 def similar_between(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
     """left, right (id, block, title) -> (a, b, sim) of a row of either side, in one block, with sim at least floor."""
-    grams = lambda rows, side: rows.select(F.lit(side).alias("side"), "id", "block", normalized(F.col("title")).alias("norm")).filter("norm != ''").select("side", "id", "block", bigrams(F.col("norm")).alias("grams"))
-    ours, theirs = grams(left, 0), grams(right, 1)
-    return _similar(ours.select(F.col("id").alias("a"), F.col("grams").alias("g_a")), theirs.select(F.col("id").alias("b"), F.col("grams").alias("g_b")), _signed(ours.union(theirs), floor), (0, 1), floor, "true")
+    grams = lambda rows, side: rows.select(F.lit(side).alias("side"), "id", "block", normalized(F.col("title")).alias("norm")).filter("norm != ''").select("side", "id", "block", _coded(F.col("norm")).alias("grams"))
+    stages = Scratch(left.sparkSession)
+    ours, theirs = stages(grams(left, 0), "ours"), stages(grams(right, 1), "theirs")
+    out = stage(_similar(ours.select(F.col("id").alias("a"), F.col("grams").alias("g_a")), theirs.select(F.col("id").alias("b"), F.col("grams").alias("g_b")), _signed(ours.union(theirs), floor), (0, 1), floor, "true"), "pairs")
+    stages.drop()
+    return out
 
 
 def first_seen(rows: DataFrame, keys: list[str], rivals: DataFrame | None = None) -> DataFrame:
