@@ -1,6 +1,11 @@
 """A cleaning pipeline over documents: quality, exact copies, near copies, repeated passages, packing.
 
 Every stage is written as Parquet to the shared folder and read again, so a lost executor costs one stage's tasks at most.
+
+Defined cases, for all stages: a null text counts as empty and stays null; texts of any length are read whole; rows without a
+doc_id are told apart by their texts; of rows that repeat doc_id and text one stays after the exact stage; ties go to the largest
+doc_id there and to the least in the near stage; further columns pass through the first four stages unchanged, whatever their
+names (n_chars follows text where passages go); an empty table gives no rows.
 """
 
 from __future__ import annotations
