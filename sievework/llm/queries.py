@@ -11,12 +11,15 @@ from .additive_quality import score_documents
 from .block_labeller import extract_pages
 from .chunk_recipes import dedupe_exact
 from .cutting_stock import pack
+from .language_model import predicted_languages
 from .minhash_join import near_duplicates
+from .periodic_runs import run_report, with_repeated_tails
 from .piece_codec import encode_documents
 from .robust_outliers import judge
 from .shared import documents
 from .snapshot_collapse import maximal_conversations
 from .suffix_dedup import removal_report
+from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, code_report
 from .warc_members import archive_round_trip
 
 WORD_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -66,9 +69,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), str(public_tokenizers.path(PIECE_MODEL)))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predicted_languages(documents(spark, sf_dir))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(with_repeated_tails(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_packing, op3_near_dedup, op4_warc, op5_html_text, op6_exact_dedup, op7_chat_collapse, op8_suffix_dedup, op9_quality_classifier, op10_sentencepiece)
+    for f in (op1_quality_rules, op2_packing, op3_near_dedup, op4_warc, op5_html_text, op6_exact_dedup, op7_chat_collapse, op8_suffix_dedup, op9_quality_classifier, op10_sentencepiece, op11_vector_codes, op12_language_id, op13_periodic_runs)
 }
 
 _OP3 = r"""
@@ -127,5 +142,40 @@ select conv_id, len(t) as n_turns, array_to_string(list_transform(t, lambda x: '
 from firsts where t not in (select p from prefixes)
 """
 
+
+
+def _op11() -> str:
+    """Lloyd's rounds unrolled. parts (vec_id, part, x) holds integers, bookN (part, entry, c) the codebooks after N rounds."""
+    ctes = [
+        f"""kept as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor({SCALE} * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+)""",
+        f"""parts as (
+  select row, vec_id, label, part, v[part * (len(v) // {PARTS}) + 1 : (part + 1) * (len(v) // {PARTS})] as x
+  from (select *, row_number() over () as row, unnest(range(0, {PARTS})) as part from kept)
+)""",
+        f"book0 as (select part, row_number() over (partition by part order by vec_id) - 1 as entry, x as c from parts where vec_id in (select vec_id from kept order by vec_id limit {ENTRIES}))",
+    ]
+    far = "list_sum(list_transform(range(1, len(x) + 1), lambda k: (x[k] - c[k]) * (x[k] - c[k])))"
+    for r in range(ROUNDS + 1):
+        ctes.append(f"""near{r} as (
+  select row, vec_id, label, part, x, arg_min(entry, (d, entry)) as entry, min(d) as d
+  from (select row, vec_id, label, p.part, x, entry, cast({far} as bigint) as d from parts p join book{r} b on p.part = b.part) group by all
+)""".replace("group by all", "group by row, vec_id, label, part, x"))
+        if r < ROUNDS:
+            ctes.append(f"""book{r + 1} as (
+  select b.part, b.entry, coalesce(m.c, b.c) as c from book{r} b left join (
+    select part, entry, list((s - ((s % n + n) % n)) // n order by k) as c
+    from (select part, entry, k, cast(sum(x[k]) as bigint) as s, count(*) as n from (select part, entry, x, unnest(range(1, len(x) + 1)) as k from near{r}) group by part, entry, k)
+    group by part, entry
+  ) m on m.part = b.part and m.entry = b.entry
+)""")
+    return f"""with {", ".join(ctes)}, whole as (
+  select row, vec_id, label, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' order by part) as code, cast(sum(d) as bigint) as error from near{ROUNDS} group by row, vec_id, label
+), digest as (select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) as codebooks_sha256 from book{ROUNDS})
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from whole, digest"""
+
+
 #: The others learn a model, call a library or compare every 400 bytes; tests hold them against brute force.
-ORACLE_SQL = {"op3_near_dedup": _OP3, "op4_warc": _OP4, "op6_exact_dedup": _OP6, "op7_chat_collapse": _OP7}
+ORACLE_SQL = {"op3_near_dedup": _OP3, "op4_warc": _OP4, "op6_exact_dedup": _OP6, "op7_chat_collapse": _OP7, "op11_vector_codes": _op11()}
