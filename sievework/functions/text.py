@@ -44,6 +44,28 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, F.regexp_replace(path, "^[^/]*", ""), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
 
 
+def absolute_url(href: Column, base: Column) -> Column:
+    """An address of a page as a whole: other schemes as they are, //host with the base's scheme, /path at its host, ?query and
+    #fragment at its path, anything else beside it; . and .. are resolved."""
+    href, base = F.trim(F.coalesce(href, F.lit(""))), F.trim(F.coalesce(base, F.lit("")))
+    origin, path = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1), F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    tail = F.regexp_extract(href, r"([?#].*)$", 1)
+    place = F.regexp_replace(href, r"(?s)[?#].*$", "")
+    whole = F.when(place.startswith("/"), place).otherwise(F.concat(F.regexp_replace(path, "[^/]*$", ""), place))
+    parts = F.split(F.regexp_replace(whole, "^/", ""), "/")
+    ends = F.element_at(parts, -1).isin(".", "..")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, x)))
+    resolved = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(ends & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+    return (
+        F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), href))
+        .when(href == "", F.regexp_replace(base, "#.*$", ""))
+        .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
+        .when(href.startswith("?"), F.concat(origin, path, href))
+        .otherwise(F.concat(origin, resolved, tail))
+    )
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
     """Whether a text, in lower case, holds any of the words."""
     return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(F.coalesce(text, F.lit(""))), w))
