@@ -1 +1 @@
-from . import aggregates, gates, joins, ledgers, matching, review, rules, scalars, scans, stories, streams, webpages, windows  # noqa: F401  each registers its queries
+from . import aggregates, gates, joins, ledgers, matching, review, rules, scalars, scans, stories, streams, vocabularies, webpages, windows  # noqa: F401  each registers its queries

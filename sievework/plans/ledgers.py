@@ -21,7 +21,7 @@ def src_channel_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-04: messages of channel preview pages. The pages are rendered here from the conversations."""
     safe = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("<br/>"))
     message = F.format_string('<div class="tgme_widget_message text_not_supported_wrap" data-post="conv%d/%d"><div class="tgme_widget_message_text js-message_text" dir="auto">%s</div><time datetime="2024-01-01T00:00:00+00:00"></time></div>', "conv_id", "turn", safe)
-    pages = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.concat(F.lit("<html><body>"), F.array_join(F.collect_list(message), ""), F.lit("</body></html>")).alias("html"))
+    pages = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("page_id")).agg(F.concat(F.lit("<html><body>"), F.array_join(F.collect_list(message), ""), F.lit("</body></html>")).alias("html"))
     return channel_posts(pages)
 
 

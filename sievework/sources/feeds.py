@@ -8,31 +8,33 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TITLE_CHARS, SUMMARY_CHARS = 120, 400
-#: What marks a message, its id, its time and its text in a channel's preview page.
-MESSAGE, POST, POSTED, TEXT = '<div class="tgme_widget_message ', 'data-post="([^/"]+)/(\\d+)"', '<time[^>]+datetime="([^"]+)"', '(?s)<div class="tgme_widget_message_text[^"]*"[^>]*>(.*?)</div>'
-
-
-def decoded(text: Column) -> Column:
-    """The five common character references, the ampersand last."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+from .nodes import TEXT, ancestors, node_table, words_of
 
+#: The classes of a message and of its text in a channel's preview page, and the attribute that names both.
+MESSAGE, MESSAGE_TEXT, POST = "tgme_widget_message", "tgme_widget_message_text", "data-post"
+#: A feed's own lengths.
+TITLE_CHARS, SUMMARY_CHARS = 120, 400
 
-def channel_posts(pages: DataFrame) -> DataFrame:
-    """pages (html) -> channel, post_id, posted_at, title, summary of the messages that have a text.
 
-    A title is the first line, a summary the whole text, both cut at the feed's own lengths."""
-    blocks = pages.select(F.explode(F.slice(F.split("html", MESSAGE), 2, 2**30)).alias("block"))
-    body = F.regexp_extract("block", TEXT, 1)
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"<br\s*/?>", "\n"), "<[^>]*>", ""), "\n{2,}", "\n")
-    posts = blocks.select(F.regexp_extract("block", POST, 1).alias("channel"), F.regexp_extract("block", POST, 2).cast("long").alias("post_id"), F.regexp_extract("block", POSTED, 1).alias("posted_at"), F.regexp_replace(decoded(text), r"^[ \n]+|[ \n]+$", "").alias("text"))
-    kept = posts.filter("post_id is not null and text != ''")
-    return kept.select("channel", "post_id", "posted_at", F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, TITLE_CHARS).alias("title"), F.substring("text", 1, SUMMARY_CHARS).alias("summary"))
+def channel_posts(pages: DataFrame, title_chars: int = TITLE_CHARS, summary_chars: int = SUMMARY_CHARS) -> DataFrame:
+    """pages (page_id, html) -> channel, post_id, posted_at, title, summary of the messages that have a text.
+
+    A message is an element of its class that names its post; its text and time are the first such elements inside, in any
+    order and with any further attributes. A line ends where the page breaks it; a title is the first line."""
+    nodes = node_table(pages)
+    named = F.split_part(F.try_element_at("attrs", F.lit(POST)), F.lit("/"), F.lit(-1)).try_cast("long")
+    messages = nodes.filter(F.array_contains(words_of("class"), MESSAGE) & named.isNotNull()).select("page_id", F.col("begin").alias("message"), F.split_part(F.try_element_at("attrs", F.lit(POST)), F.lit("/"), F.lit(1)).alias("channel"), named.alias("post_id"))
+    inner = lambda found, *columns: ancestors(found, *columns).withColumnRenamed("ancestor", "message").join(messages.select("page_id", "message"), ["page_id", "message"])
+    holders = inner(nodes.filter(F.array_contains(words_of("class"), MESSAGE_TEXT))).groupBy("page_id", "message").agg(F.min("begin").alias("holder"))
+    times = inner(nodes.filter((F.col("tag") == "time") & F.map_contains_key("attrs", "datetime")).withColumn("at", F.try_element_at("attrs", F.lit("datetime"))), "at").groupBy("page_id", "message").agg(F.min_by("at", "begin").alias("posted_at"))
+    parts = ancestors(nodes.filter(F.col("tag") == TEXT), "text").withColumnRenamed("ancestor", "holder").join(holders, ["page_id", "holder"])
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", "text"))), lambda p: p["text"]), "")
+    texts = parts.groupBy("page_id", "message").agg(F.regexp_replace(F.regexp_replace(lines, "\n{2,}", "\n"), r"^[ \n]+|[ \n]+$", "").alias("text")).filter("text != ''")
+    met = messages.join(texts, ["page_id", "message"]).join(times, ["page_id", "message"], "left")
+    return met.select("channel", "post_id", F.coalesce("posted_at", F.lit("")).alias("posted_at"), F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, title_chars).alias("title"), F.substring("text", 1, summary_chars).alias("summary"))
 
 
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import drop_path
 
 
 class Conflict(RuntimeError):
@@ -22,8 +26,12 @@ def write_valid(rows: DataFrame, error: Column, path: str) -> DataFrame:
 
 
 class VersionedTable:
-    """A keyed table as one folder for each version. The newest version is the folder with the greatest number; a writer
-    creates the next one under that name or not at all, so that two writers can't both follow the same version."""
+    """A keyed table whose versions are plain Parquet folders. Every writer of a version writes a folder of its own; of those
+    that ended, by the marker that Spark leaves, the first is the version. Nothing is locked or renamed: a writer that dies
+    leaves a folder that nobody reads, and one that ends second gets a Conflict and its folder is removed."""
+
+    #: Seconds after which the time of a finished folder is surely earlier than that of any later one.
+    GRAIN = 1.0
 
     def __init__(self, spark: SparkSession, path: str, key: str):
         self.spark, self.path, self.key = spark, path, key
@@ -31,27 +39,33 @@ class VersionedTable:
         self._new = jvm.org.apache.hadoop.fs.Path
         self._files = self._new(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _names(self, path: str) -> list[str]:
+        top = self._new(path)
+        return [s.getPath().getName() for s in self._files.listStatus(top)] if self._files.exists(top) else []
+
+    def _ended(self, version: int) -> list[tuple[int, str]]:
+        """(time, folder) of the finished folders of a version, the first one first."""
+        folders = [f"{self.path}/v{version}/{n}" for n in self._names(f"{self.path}/v{version}")]
+        marks = [(f, self._new(f"{f}/_SUCCESS")) for f in folders]
+        return sorted((self._files.getFileStatus(m).getModificationTime(), f) for f, m in marks if self._files.exists(m))
+
     def version(self) -> int:
-        """The newest complete version, 0 if there is none."""
-        top = self._new(self.path)
-        if not self._files.exists(top):
-            return 0
-        names = (s.getPath().getName() for s in self._files.listStatus(top))
-        return max((int(n[1:]) for n in names if n.startswith("v") and self._files.exists(self._new(f"{self.path}/{n}/_SUCCESS"))), default=0)
+        """The newest version with a finished folder, 0 if there is none."""
+        found = sorted((int(n[1:]) for n in self._names(self.path) if re.fullmatch(r"v\d+", n)), reverse=True)
+        return next((v for v in found if self._ended(v)), 0)
 
     def read(self, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{version}")
+        return self.spark.read.parquet(self._ended(version)[0][1])
 
     def write(self, rows: DataFrame, after: int) -> int:
         """Write rows as the version that follows after; Conflict if another writer was faster."""
         if self.version() != after:
             raise Conflict(f"version {after} is not the newest")
-        made = new_path(self.spark, "version")
+        made = f"{self.path}/v{after + 1}/{uuid.uuid4().hex}"
         rows.write.parquet(made)
-        self._files.mkdirs(self._new(self.path))
-        if not self._files.mkdirs(self._new(f"{self.path}/claim-{after + 1}")) or not self._files.createNewFile(self._new(f"{self.path}/claim-{after + 1}/taken")):
-            raise Conflict(f"version {after + 1} is being written")
-        if not self._files.rename(self._new(made), self._new(f"{self.path}/v{after + 1}")):
+        time.sleep(self.GRAIN)
+        if self._ended(after + 1)[0][1] != made:
+            drop_path(self.spark, made)
             raise Conflict(f"version {after + 1} exists")
         return after + 1
 

@@ -1,5 +1,6 @@
 """Writes with conditions, feeds and stream guards."""
 
+import threading
 from types import SimpleNamespace
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from sievework.functions.text import bigrams, jaccard
 from sievework.plans.review import name_error, name_key, override_targets, prefix_discounted
 from sievework.sources.feeds import indexed, json_log, read_word_documents, written_document
-from sievework.sources.shared import new_path, shared_dir
+from sievework.sources.shared import drop_path, new_path, shared_dir
 from sievework.sources.sinks import Conflict, VersionedTable
 from sievework.streaming.guards import single_flight, waited
 from sievework.streaming.leases import table_stream
@@ -28,6 +29,32 @@ def test_versions_are_swapped_once(spark):
     assert {r.id for r in table.read(table.delete(rows((2, 0)))).collect()} == {1, 3}
 
 
+def test_versions_survive_dead_and_slow_writers(spark):
+    table = VersionedTable(spark, new_path(spark, "t"), "id")
+    rows = lambda n: spark.createDataFrame([(n,)], "id long")
+    table.write(rows(1), 0)
+    # a writer dies while it writes version 2: parts without Spark's marker
+    rows(66).write.parquet(f"{table.path}/v2/dead")
+    drop_path(spark, f"{table.path}/v2/dead/_SUCCESS")
+    assert table.version() == 1 and table.write(rows(2), 1) == 2
+    # of writers that start from one version, one wins
+    outcomes = []
+
+    def run(n):
+        try:
+            outcomes.append((n, table.write(rows(n), 2)))
+        except Conflict:
+            outcomes.append((n, None))
+
+    threads = [threading.Thread(target=run, args=(n,)) for n in range(10, 14)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    won = [n for n, version in outcomes if version == 3]
+    assert len(won) == 1 and len(outcomes) == 4 and [r.id for r in table.read(3).collect()] == won and table.version() == 3
+
+
 def test_logs_abort_at_a_bad_line(spark):
     path = new_path(spark, "log")
     spark.createDataFrame([('{"id": 1}',), ("{broken",)], "value string").write.text(path)
