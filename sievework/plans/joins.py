@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.prefixes import longest_prefix, segments
 from ..operators.similarity import components, first_seen, similar_between, similar_pairs
 from ..sources.tables import ARTICLES_SQL, articles, table
 from .gates import identity_keys
@@ -93,6 +94,20 @@ def jn_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("page_id", F.when(F.col("b.families") == 1, F.col("b.family")).alias("family"))
 
 
+#: The addresses' own segments, and three more by the page, so that paths and registered prefixes are up to five deep.
+_DEEP = "regexp_replace(regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1), '/+$', '') || '/s' || page_id % 3 || '/t' || page_id % 2 || '/u'"
+_DEEP_SQL = f"p as (select page_id, regexp_extract(url, '^https?://([^/]+)', 1) as host, string_split(substr({_DEEP}, 2), '/') as s from pages)"
+
+
+@query(f"with {_DEEP_SQL}, k as (select distinct host, array_to_string(s[1:page_id % 6], '/') as prefix, 'family' || length(host) % 5 + page_id % 2 as name from p), m as (select page_id, prefix, count(distinct name) as n, min(name) as name from p join k on k.host = p.host and k.prefix in (select array_to_string(s[1:i], '/') from unnest(range(0, 6)) as r(i)) group by all) select p.page_id as id, b.prefix, b.name from p left join (select page_id, case when prefix = '' then '' else '/' || prefix end as prefix, case when n = 1 then name end as name from m qualify row_number() over (partition by page_id order by length(prefix) desc) = 1) b on b.page_id = p.page_id")
+def jn_deep_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-08: the publisher with the longest registered prefix of a page's path, of any depth; null if several share it."""
+    host, path = F.regexp_extract("url", "^https?://([^/]+)", 1), F.expr(_DEEP)
+    pages = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    known = pages.select("host", F.array_join(F.slice(segments(F.col("path")), 1, (F.col("page_id") % 6).cast("int")), "/").alias("prefix"), F.concat(F.lit("family"), (F.length("host") % 5 + F.col("page_id") % 2).cast("string")).alias("name"))
+    return longest_prefix(pages.select(F.col("page_id").alias("id"), "host", "path"), known.distinct())
+
+
 @query("select e.event_id, (select max(p.event_id) from (select event_id, user_id, ts from events where event_type = 'click') p where p.user_id = e.user_id and p.ts = (select max(ts) from events q where q.event_type = 'click' and q.user_id = e.user_id and q.ts <= e.ts)) as evidence_id from events e where e.event_type = 'purchase'")
 def jn_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-09, JN-10: the latest earlier observation for each record; one window over both sides, no inequality join."""

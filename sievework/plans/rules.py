@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import common_length, fingerprint, html_to_text, is_subsequence, outside_protected
+from ..functions.text import fingerprint, html_to_text, is_subsequence, outside_protected
+from ..operators.substrings import common_substrings, quoted_spans
 from ..sources.tables import ARTICLES_SQL, articles, table
 from .registry import query
 
@@ -63,13 +64,28 @@ def str_same_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("id", "a = b or (least(length(a), length(b)) >= 8 and (contains(a, b) or contains(b, a))) as same_title", "(length(a) >= 8 and left(a, 8) = left(b, 8)) or (length(a) >= 6 and right(a, 6) = right(b, 6)) as shares_enough")
 
 
-@query(f"""with {ARTICLES_SQL}, t as (select id, title as a, substr(content, length(title) + 1) as b from articles where length(title) > 0),
-s as (select id, b, a, unnest(range(1, length(a) + 1)) as i from t), u as (select id, b, substr(a, i, unnest(range(1, length(a) - i + 2))) as part from s)
-select t.id, coalesce(max(length(part)) filter (where contains(u.b, part)), 0) as n_common from t left join u using (id) group by t.id""")
+_COMMON_SQL = "list_reduce(list_prepend(0, range(1, length({a}) + 1)), lambda n, i: case when contains({b}, substr({a}, i - n, n + 1)) then n + 1 else n end)"
+
+
+@query(f"with {ARTICLES_SQL}, t as (select id, title as a, substr(content, length(title) + 1) as b from articles where length(title) > 0) select id, {_COMMON_SQL.format(a='a', b='b')} as n_common from t")
 def str_common_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-18: length of the longest common substring, one containment test for each end position."""
-    rows = articles(spark, sf_dir).filter(F.length("title") > 0)
-    return rows.select("id", common_length(F.col("title"), F.expr("substr(content, length(title) + 1)")).cast("long").alias("n_common"))
+    """STR-18: length of the longest substring that a title shares with the text below it, by a suffix automaton."""
+    rows = articles(spark, sf_dir).filter(F.length("title") > 0).select("id", "title", F.expr("substr(content, length(title) + 1)").alias("rest"))
+    return common_substrings(rows, "id", "title", "rest").select("id", "n_common")
+
+
+#: The fewest letters and digits that count as a quotation.
+QUOTE_LEAST = 16
+
+
+@query(f"""with {ARTICLES_SQL}, r as (select item_id as reason_id, regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}]', '', 'g') as a from benchmark), s as (select id as source_id, regexp_replace(title, '[^\\p{{L}}\\p{{N}}]', '', 'g') as b from articles),
+g as (select distinct reason_id, substr(a, unnest(range(1, length(a) - {QUOTE_LEAST - 2})), {QUOTE_LEAST}) as x from r), h as (select distinct source_id, substr(b, unnest(range(1, length(b) - {QUOTE_LEAST - 2})), {QUOTE_LEAST}) as x from s),
+m as (select distinct reason_id, source_id from g join h using (x)) select reason_id, source_id, {_COMMON_SQL.format(a='b', b='a')} as n_common from m join r using (reason_id) join s using (source_id)""")
+def str_quoted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-18: what of a published item is quoted from which titles: the longest span of letters and digits."""
+    reasons = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("reason_id"), "text")
+    sources = articles(spark, sf_dir).select(F.col("id").alias("source_id"), F.col("title").alias("text"))
+    return quoted_spans(reasons, sources, QUOTE_LEAST).select("reason_id", "source_id", "n_common")
 
 
 _FNV_SQL = "list_reduce(list_prepend(2166136261::bigint, list_transform(string_split({x}, ''), lambda c: unicode(c)::bigint)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..sources.shared import new_path
+from .slots import fed
 
 DELAY = "10 minutes"
 
@@ -36,24 +36,15 @@ def drained_window_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{top}/out")
 
 
-def late_rows(run: StreamingQuery) -> int:
-    """How many rows a query's watermark has dropped so far, as its progress reports say."""
-    return sum(op.numRowsDroppedByWatermark for p in run.recentProgress for op in p.stateOperators)
-
-
 def frozen(spark: SparkSession, states: list[DataFrame]) -> list[DataFrame]:
     """Send states through a stream, a micro-batch each, and freeze every batch in the shared folder as it comes.
 
     A batch that is run again after a failure writes over its own folder, so each is frozen once."""
     top = new_path(spark, "frozen")
-    for k, state in enumerate(states):
-        state.coalesce(1).write.parquet(f"{top}/in/step={k}")
-    schema = StructType([*states[0].schema.fields, StructField("step", IntegerType())])
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.partitionBy("step").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{top}/out")
+    def keep(batch: DataFrame, k: int) -> None:
+        batch.withColumn("step", F.lit(k)).write.partitionBy("step").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{top}/out")
 
-    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
-    kept = spark.read.schema(schema).parquet(f"{top}/out")
+    fed(spark, states, lambda stream: stream.writeStream.foreachBatch(keep), top)
+    kept = spark.read.schema(StructType([*states[0].schema.fields, StructField("step", IntegerType())])).parquet(f"{top}/out")
     return [kept.filter(F.col("step") == k).drop("step") for k in range(len(states))]
