@@ -1,15 +1,20 @@
 """HTML main-text extraction with a recurrent block labeller (operator 5).
 
-A page is cut into its leaf blocks, in order. Each block becomes a sparse vector: hashed tags, classes and ids of its path,
-all of its words hashed and counted, and a few numbers. A bidirectional LSTM in numpy reads the whole sequence and labels
-every block as article text or not, so that a block is judged by what stands around it. Blocks labelled as text are joined.
-
-The network is trained here, on pages laid out at random (menus, notices, adverts, sidebars, forms, reader comments, footers,
-with and without semantic tags or telling classes) that borrow their words from a bounded sample of pages, and on those of the
-sample's pages whose own markup tells where the text is. One rule, marked_labels, labels both. The sample, the only thing that
-is bounded, has at most SAMPLE_PAGES pages of at most SAMPLE_CHARS characters, those with the least hash of page_id; of them
-training takes SAMPLE_LINES lines and, from each page, PAGE_PARTS parts of TRAIN_BLOCKS blocks. It runs on the driver in a
-fixed number of steps. Every page is then read whole, whatever its length.
+A page is cut into its leaf blocks, in order. Each block becomes a sparse vector: hashed tags, classes, ids and roles of its path,
+all of its words hashed and counted (as a vector of length one, so that a word that fills a block weighs no more than many do),
+and a few numbers, some of which tell its place in the page's structure: how much of the
+page's text its element holds, whether it stands inside the element with most of the text, before or after it, how many like
+items stand beside the one it is in, whether these are dated, and the share of links around it. A bidirectional LSTM in numpy
+reads the whole sequence and labels every block as article text or not, so that a block is judged by what stands around it.
+Blocks labelled as text are joined.
+
+The network is trained here, on pages laid out at random (menus, notices, adverts, sidebars, forms, reader comments, footers) that
+borrow their words from a bounded sample of pages or invent them, and on those of the sample's pages whose own markup tells where
+the text is. On half of the random pages names tell nothing: classes and ids are made up or missing, and comments show by their
+repeated, dated items, menus by their links, the article by its text. The sample, the only thing that is bounded, has at most
+SAMPLE_PAGES pages of at most SAMPLE_CHARS characters, those with the least hash of page_id; of them training takes SAMPLE_LINES
+lines and, from each page, PAGE_PARTS parts of TRAIN_BLOCKS blocks. It runs on the driver in a fixed number of steps. Every page
+is then read whole, whatever its length.
 
 Defined cases: a null, empty or blank html has an empty text; markup that ends early or is never closed is read as far as it
 goes; repeated rows are extracted alike; null ids and urls are kept; other columns are ignored, whatever their names; an empty
@@ -19,6 +24,7 @@ table gives no rows; if all page_ids are null, training has invented lines only.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 import zlib
 from collections import Counter
@@ -33,9 +39,9 @@ from pyspark.sql import functions as F
 from .shared import Recent
 
 SAMPLE_PAGES, SAMPLE_CHARS, SAMPLE_LINES, TRAIN_BLOCKS, PAGE_PARTS = 64, 1_000_000, 3000, 80, 5
-STEPS, BATCH = 260, 24
-PLAIN_SHARE = 0.35
-PATH_SHARE, WORD_SHARE, HIDDEN, NUMBERS = 384, 1024, 20, 6
+STEPS, BATCH = 340, 24
+PLAIN_SHARE = 0.25
+PATH_SHARE, WORD_SHARE, HIDDEN, NUMBERS = 384, 1024, 20, 16
 FEATURES = PATH_SHARE + WORD_SHARE
 #: Blocks whose vectors are added up at once: at most FEATURES places each.
 PROJECTED = 256
@@ -46,6 +52,7 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta source trac
 RAW_TAGS = frozenset("script style textarea title noscript iframe".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|itemprop|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_MARKS = {"class": ".", "id": "#", "role": "@", "itemprop": "="}
 _SPACE = re.compile(r"\s+")
 HEAD_TAGS = frozenset("base basefont bgsound link meta title noscript noframes style script template html head".split())
 _MAY_STAY_OPEN = re.compile(r"<(?:button|select|svg|object|canvas|template)\b", re.I)
@@ -55,11 +62,13 @@ _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW_TAGS}
 
 @dataclass
 class Block:
-    """A leaf block: the names on its path (tags, then .class and #id words), its text, and the share of it within links."""
+    """A leaf block: the names on its path (tags, then .class, #id, @role and =itemprop words), its text, the share of it within
+    links, and the elements around it, each as a number of its own and its names."""
 
     path: tuple[str, ...]
     text: str
     linked: float
+    chain: tuple[tuple[int, tuple[str, ...]], ...] = ()
 
 
 def unclosed_starts(page: str) -> set[int]:
@@ -88,6 +97,8 @@ def leaf_blocks(page: str) -> list[Block]:
     template that has no end tag."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], bool]] = []  # the last: dropped, but without an end tag
+    chain: tuple[tuple[int, tuple[str, ...]], ...] = ()
+    made = 0
     unclosed = unclosed_starts(page)
     path: tuple[str, ...] = ()
     parts: list[str] = []
@@ -98,17 +109,17 @@ def leaf_blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(path, text, min(1.0, linked / max(1, len(text)))))
+                out.append(Block(path, text, min(1.0, linked / max(1, len(text))), chain))
             parts.clear()
             linked = 0
 
     def leave(k: int) -> None:
-        nonlocal path, dropped, links
+        nonlocal path, chain, dropped, links
         for tag, _, _ in stack[k:]:
             dropped -= tag in DROPPED_TAGS
             links -= tag == "a"
         del stack[k:]
-        path = tuple(n for _, names, _ in stack for n in names)
+        path, chain = tuple(n for _, names, _ in stack for n in names), chain[:k]
 
     at = 0
     while at < len(page):
@@ -163,7 +174,7 @@ def leaf_blocks(page: str) -> list[Block]:
                 if kind == "hidden" or kind == "style" and re.search(r"display\s*:\s*none", value):
                     names.append("!hidden")
                 elif kind != "style":
-                    names += [("#" if kind == "id" else ".") + w for w in re.split(r"[^a-z]+", value.lower()) if w]
+                    names += [_MARKS[kind] + w for w in re.split(r"[^a-z]+", value.lower()) if w]
         if tag in RAW_TAGS:
             raw = _RAW_END[tag].search(page, at)
             at = raw.end() if raw else len(page)
@@ -171,7 +182,8 @@ def leaf_blocks(page: str) -> list[Block]:
         stack.append((tag, tuple(names), at in unclosed))
         dropped += tag in DROPPED_TAGS
         links += tag == "a"
-        path = path + tuple(names)
+        made += 1
+        path, chain = path + stack[-1][1], (*chain, (made, stack[-1][1]))
     flush()
     return out
 
@@ -199,17 +211,82 @@ def _word_place(word: str) -> int:
 _WORDS = Recent(_word_place, 200_000)
 
 
+_DATE = re.compile(r"\d{1,2}[:h.]\d{2}\b|\b\d{1,4}[-./]\d{1,2}[-./]\d{1,4}\b|\b(?:19|20)\d\d\b|\b\d{1,2}\.? \w{3,9}\b")
+#: The share of a page's text from which an element holds the most of it.
+MOST = 0.5
+
+
+def structure(blocks: list[Block]) -> list[list[float]]:
+    """Numbers of each block's place in its page: the text share of its element, inside, before and after the innermost element
+    that holds most of the text, like items beside its own, whether those are dated, and the links of its list or element.
+
+    An item is an element of two blocks or more, one of several with the same names in the same parent."""
+    # of each element: plain text, linked text, blocks, dated, depth, parent, names; parents come before what they hold
+    info: dict[int, list] = {0: [0.0, 0.0, 0, False, -1, 0, ()]}
+    dates = [len(b.text) < 60 and _DATE.search(b.text) is not None for b in blocks]
+    total = 0.0
+    for block, dated in zip(blocks, dates, strict=True):
+        size = len(block.text)
+        linked = size * block.linked
+        total += size - linked
+        parent = 0
+        for element, names in block.chain:
+            held = info.get(element)
+            if held is None:
+                held = info[element] = [0.0, 0.0, 0, False, info[parent][4] + 1, parent, names]
+            held[0] += size - linked
+            held[1] += linked
+            held[2] += 1
+            held[3] = held[3] or dated
+            parent = element
+    total = total or 1.0
+    items: dict[tuple, list[int]] = {}
+    most, depth = -1, -1
+    for element, held in info.items():
+        if held[2] > 1:
+            items.setdefault((held[5], held[6]), []).append(element)
+        if held[2] > 1 and held[4] > depth and held[0] >= MOST * total:
+            most, depth = element, held[4]
+    #: (like items, whether they are dated, inside the element of most text) of the elements on the way to each
+    seen: dict[int, tuple[int, bool, bool]] = {0: (1, False, False)}
+    for element, held in info.items():
+        if element:
+            alike, stamped, inner = seen[held[5]]
+            group = items.get((held[5], held[6]), ()) if held[2] > 1 else ()
+            if len(group) > alike:
+                alike, stamped = len(group), sum(info[e][3] for e in group) * 2 > len(group)
+            seen[element] = (alike, stamped, inner or element == most)
+    own = [b.chain[-1][0] if b.chain else 0 for b in blocks]
+    inside = [seen[e][2] for e in own]
+    first = inside.index(True) if True in inside else len(blocks)
+    last = len(inside) - 1 - inside[::-1].index(True) if True in inside else -1
+    out = []
+    for i, (block, element) in enumerate(zip(blocks, own, strict=True)):
+        alike, stamped, _ = seen[element]
+        around = info[element][5] or element
+        mass, links = info[around][:2]
+        out.append([
+            info[element][0] / total, mass / total, float(inside[i]), float(i < first), float(i > last), min(1.0, math.log(alike) / 2), float(stamped), links / max(1.0, links + mass),
+            min(1.0, len(block.text) * (1 - block.linked) / total), float(dates[i]),
+        ])
+    return out
+
+
+def page_vectors(blocks: list[Block]) -> list[tuple[list[int], list[float], list[float]]]:
+    return [(spots, weights, numbers + more) for (spots, weights, numbers), more in zip(map(block_vector, blocks), structure(blocks), strict=True)]
+
+
 def block_vector(block: Block) -> tuple[list[int], list[float], list[float]]:
-    """(hashed path and word places, their weights, numbers). Every word of the block counts; a word place weighs its count by
-    the root of the number of words."""
+    """(hashed path and word places, their weights, numbers of the block alone). Every word of the block counts; a word place weighs its count, and
+    all of a block's have length one."""
     spots = {_bucket("/" + n, 0, PATH_SHARE) for n in block.path}
     if block.path:
         spots.add(_bucket(">" + "/".join(n for n in block.path[-3:]), 0, PATH_SHARE))
     words = block.text.lower().split()
     n = len(words)
     counts = Counter(map(_WORDS.__getitem__, words))
-    root = max(1, n) ** 0.5
-    return [*spots, *counts], [1.0] * len(spots) + [c / root for c in counts.values()], [min(1.0, np.log1p(n) / 6), block.linked, min(1.0, 8 * len(_DIGITS.findall(block.text)) / max(1, len(block.text))), float(block.text[-1] in ".!?…\"”"), float(block.text[0].isupper()), 1.0]
+    root = math.sqrt(sum(c * c for c in counts.values())) or 1.0
+    return [*spots, *counts], [1.0] * len(spots) + [c / root for c in counts.values()], [min(1.0, math.log1p(n) / 6), block.linked, min(1.0, 8 * len(_DIGITS.findall(block.text)) / max(1, len(block.text))), float(block.text[-1] in ".!?…\"”"), float(block.text[0].isupper()), 1.0]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -324,7 +401,7 @@ class BlockNetwork:
 
 
 _OUTSIDE = frozenset({"nav", "header", "footer", "aside", "form", "!hidden", "menu"} | {f"{s}{w}" for s in ".#" for w in "ad ads advert nav menu sidebar comment comments cookie notice banner footer header share related promo newsletter".split()})
-_SEMANTIC = frozenset(("article", "main"))
+_SEMANTIC = frozenset(("article", "main", "@main", "=articlebody"))
 _CONTAINERS = frozenset(f"{s}{w}" for s in ".#" for w in "article content entry main post story".split())
 
 
@@ -347,99 +424,175 @@ NOTICES = (
 )
 
 
-def plain_page(rng: np.random.Generator, lines: list[str]) -> list[tuple[Block, float]]:
-    """A page whose tags and classes tell nothing: article text and, anywhere in its blocks' words, notices among it. Some
-    pages have invented words, so that words not met in training tell nothing."""
-    invented = rng.random() < 0.4
-
-    def pick(words: int) -> str:
-        found = lines[int(rng.integers(len(lines)))].split() or ["x"]
-        at = int(rng.integers(max(1, len(found) - words + 1)))
-        found = found[at : at + words]
-        return " ".join(f"v{x}" for x in rng.integers(0, 10**6, len(found))).capitalize() + "." if invented else " ".join(found)
-
-    says = NOTICES[int(rng.integers(len(NOTICES)))].split("|")
-    wrap = [(), ("div",), ("div", "div"), ("section",), ("table", "tr", "td")][int(rng.integers(5))]
-    kinds = [("p",), ("div",), ("div", "p")]
-    kind = kinds[int(rng.integers(3))]
-    out: list[tuple[Block, float]] = []
+#: Stands at the end of article text of random pages until their blocks are read.
+MARK = "\u2061"
+#: Names that tell, by what they stand on.
+TELLING = {
+    "top": "header masthead top banner", "notice": "cookie notice banner alert consent", "menu": "nav menu navigation breadcrumb", "ad": "ad ads advert sponsored promo", "body": "content post entry story article",
+    "comments": "comments discussion responses replies", "comment": "comment reply", "side": "sidebar related widget", "foot": "footer copyright",
+}
+
+
+class RandomPage:
+    """One page laid out at random as HTML; article text ends with MARK."""
+
+    def __init__(self, rng: np.random.Generator, lines: list[str]):
+        self.rng, self.lines = rng, lines
+        self.telling, self.invented, self.semantic = rng.random() < 0.6, rng.random() < 0.35, rng.random() < 0.55
+        self.names: dict[str, str] = {}
+        self.odd = 0.08 if self.semantic else 0.0
+
+    def one(self, *values):
+        return values[int(self.rng.integers(len(values)))]
+
+    def some(self, low: int, high: int) -> range:
+        return range(int(self.rng.integers(low, high)))
+
+    def chance(self, share: float) -> bool:
+        return self.rng.random() < share
+
+    def words(self, n: int) -> str:
+        if self.chance(self.odd):
+            word = self.one(*self.lines).split(" ")[0] or "x"
+            return entities.escape(self.one(" ".join([word] * n), " ".join([word] * n * 4), "x", "1 2 3", "*** $$$", f"{self.one(*self.lines)} {word} {' '.join([word] * n * 2)}"))
+        if self.invented:
+            return " ".join(f"v{x}" for x in self.rng.integers(0, 10**6, n)).capitalize() + self.one(".", ".", "")
+        found = self.lines[int(self.rng.integers(len(self.lines)))].split() or ["x"]
+        at = int(self.rng.integers(max(1, len(found) - n + 1)))
+        return entities.escape(" ".join(found[at : at + n]))
+
+    def named(self, kind: str) -> str:
+        """An attribute: a telling name, a made-up one that stays the page's own for its kind, or none."""
+        if self.telling:
+            name = self.one(*TELLING[kind].split())
+        else:
+            if kind not in self.names:
+                self.names[kind] = self.one("", "".join(chr(97 + int(x)) for x in self.rng.integers(0, 26, 6)))
+            name = self.names[kind]
+        return f' {self.one("class", "class", "id")}="{name}"' if name else ""
+
+    def link(self, n: int) -> str:
+        return f'<a href="/{int(self.rng.integers(999))}">{self.words(n)}</a>'
+
+    def menu(self) -> str:
+        items = [self.link(int(self.rng.integers(1, 4))) for _ in self.some(2, 10)]
+        inner = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if self.chance(0.6) else "".join(self.one("<div>{}</div>", "<p>{}</p>").format(x) for x in items) if self.chance(0.5) else self.one(" | ", " ").join(items)
+        return f"<nav>{inner}</nav>" if self.semantic and self.chance(0.8) else f"<div{self.named('menu')}>{inner}</div>"
+
+    def notice(self) -> str:
+        said = ". ".join(self.one(*self.one(*NOTICES).split("|")) for _ in self.some(1, 3)) if self.chance(0.6) else self.words(int(self.rng.integers(3, 25)))
+        return f"<div{self.named('notice')}>{self.one('<p>{}</p>', '{}').format(said)}</div>"
+
+    def advert(self) -> str:
+        return f"<div{self.named('ad')}>{self.words(int(self.rng.integers(3, 25)))}</div>"
+
+    def stamp(self) -> str:
+        n = lambda low, high: int(self.rng.integers(low, high))
+        return self.one(f"{n(1, 29)}.{n(1, 13)}.{n(1999, 2030)}", f"{n(1999, 2030)}-{n(10, 13)}-{n(10, 29)} {n(10, 24)}:{n(10, 60)}", f"{n(1, 29)} {self.one('May', 'mai', 'июня', 'junio')} {n(2000, 2030)}, {n(10, 24)}:{n(10, 60)}", f"{n(2, 50)} {self.one('hours ago', 'min', 'Std.', 'часов назад')}")
+
+    def comments(self) -> str:
+        """Items of like shape: a name, a time, what was said; ways to answer."""
+        outer, item = self.one(("section", "div"), ("div", "div"), ("ol", "li"), ("ul", "li"), ("div", "article"), ("section", "article"))
+        shape, reply = int(self.rng.integers(4)), self.chance(0.5)
+        names = self.named("comment")
+        out = [f"<h3>{self.one(self.words(1), 'Comments', str(int(self.rng.integers(1, 99))))}</h3>"] if self.chance(0.5) else []
+        for _ in self.some(2, 9):
+            who, when, said = self.words(int(self.rng.integers(1, 3))), self.stamp(), self.words(int(self.rng.integers(2, 45)))
+            head = [f"<div>{who}</div><div>{when}</div>", f"<p><b>{who}</b> {when}</p>", f"<header><a href='/u'>{who}</a> <time>{when}</time></header>", f"<div><span>{who}</span></div><time>{when}</time>"][shape]
+            out.append(f"<{item}{names}>{head}{self.one('<p>{}</p>', '<div>{}</div>').format(said)}{'<div>' + self.link(1) + '</div>' if reply else ''}</{item}>")
+        return f"<{outer}{self.named('comments')}>{''.join(out)}</{outer}>"
+
+    def side(self) -> str:
+        inner = "".join(f"<li>{self.link(int(self.rng.integers(2, 9)))}</li>" if self.chance(0.6) else f"<li>{self.words(int(self.rng.integers(2, 9)))}</li>" for _ in self.some(1, 7))
+        inner = f"<h3>{self.words(2)}</h3><ul>{inner}</ul>" if self.chance(0.7) else f"<p>{self.words(int(self.rng.integers(3, 15)))}</p>"
+        return f"<aside>{inner}</aside>" if self.semantic and self.chance(0.6) else f"<div{self.named('side')}>{inner}</div>"
+
+    def form(self) -> str:
+        return f"<form><label>{self.words(2)}</label><input><p>{self.words(4)}</p></form>"
+
+    def footer(self) -> str:
+        inner = "".join(self.one("<p>{}</p>", "<div>{}</div>", "{} ").format(self.one("© ", "Copyright ", "") + self.words(int(self.rng.integers(2, 12))) if self.chance(0.6) else self.link(2)) for _ in self.some(1, 4))
+        return f"<footer>{inner}</footer>" if self.semantic and self.chance(0.8) else f"<div{self.named('foot')}>{inner}</div>"
+
+    def article(self) -> str:
+        kind = self.one("<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<div>{}</div>", "<div><p>{}</p></div>")
+        text = lambda n: self.words(n) + MARK
+        out = [f"<{h}>{text(int(self.rng.integers(1, 12)))}</{h}>" for h in ["h1" if self.chance(0.7) else "h2"] if self.chance(0.85)]
+        if self.chance(0.25):
+            out.append(f"<p>{self.words(2)} {self.stamp()}{MARK}</p>")
+        for _ in self.some(1, 14):
+            roll = self.rng.random()
+            if roll < 0.1:
+                h = self.one("h2", "h3", "blockquote", "pre", "figcaption")
+                out.append(f"<{h}>{text(int(self.rng.integers(2, 20)))}</{h}>")
+            elif roll < 0.17:
+                out.append(f"<{'ul' if roll < 0.14 else 'ol'}>" + "".join(f"<li>{text(int(self.rng.integers(1, 9)))}</li>" for _ in self.some(1, 6)) + f"</{'ul' if roll < 0.14 else 'ol'}>")
+            elif roll < 0.19:
+                out.append("<table>" + "".join(f"<tr><td>{text(1)}</td><td>{text(2)}</td></tr>" for _ in self.some(1, 5)) + "</table>")
+            elif roll < 0.23 and (self.telling or self.semantic):
+                out.append(self.advert() if self.telling else f"<aside><p>{self.words(12)}</p></aside>")
+            elif roll < 0.26:
+                out.append(self.one(self.menu, self.form)())
+            elif roll < 0.3:
+                out.append("<section>" + f"<h2>{text(3)}</h2>" + "".join(kind.format(text(int(self.rng.integers(5, 40)))) for _ in self.some(1, 4)) + "</section>")
+            else:
+                n = int(self.rng.integers(1, 5 if self.chance(0.1) else 80))
+                body = f"<b>{text(n)}</b>" if self.chance(0.1) else f"<b>{self.words(2)}</b> " + text(n) if self.chance(0.1) else text(max(1, n // 2)).replace(MARK, " ") + self.link(2) + " " + text(max(1, n // 2)) if self.chance(0.1) else text(n)
+                out.append(kind.format(body))
+        inner = "".join(out)
+        if self.semantic:
+            return self.one("<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div role=main>{}</div>", "<div itemprop=articleBody>{}</div>").format(inner)
+        return self.one("<div{0}>{1}</div>", "<div{0}>{1}</div>", "<section{0}>{1}</section>", "<div><div{0}>{1}</div></div>").format(self.named("body"), inner)
+
+    def html(self) -> str:
+        top = (f"<header><p>{self.words(4)}</p></header>" if self.semantic else f"<div{self.named('top')}><p>{self.words(4)}</p></div>") if self.chance(0.4) else ""
+        before = [f() for f, share in ((self.notice, 0.3), (self.menu, 0.75), (self.advert, 0.4)) if self.chance(share)]
+        after = [f() for f, share in ((self.comments, 0.45), (self.side, 0.4), (self.form, 0.2), (self.advert, 0.2), (self.menu, 0.15), (self.notice, 0.15)) if self.chance(share)]
+        foot = self.footer() if self.chance(0.8) else ""
+        if self.chance(0.12):
+            cells = [*before[:1], self.article(), *after[:1]]
+            middle = "<table><tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr></table>" + "".join(after[1:])
+        else:
+            middle = "".join(before) + self.article() + "".join(after)
+        wrap = self.one("{}", "{}", "<div>{}</div>", "<div id=page><div>{}</div></div>")
+        return "<html><body>" + wrap.format(top + middle + foot) + "</body></html>"
+
+
+def plain_html(page: RandomPage) -> str:
+    """A page whose tags and classes tell nothing: article text and, anywhere in its blocks' words, notices among it."""
+    says = page.one(*NOTICES).split("|")
+    kind = page.one("<p>{}</p>", "<div>{}</div>", "<div><p>{}</p></div>")
+    out: list[str] = []
 
     def notice() -> None:
-        said = ". ".join(says[int(rng.integers(len(says)))] for _ in range(int(rng.integers(1, 4))))
-        parts = [pick(int(rng.integers(1, 40))) if rng.random() < 0.5 else "", said, pick(int(rng.integers(1, 20))) if rng.random() < 0.3 else ""]
-        own = kind if rng.random() < 0.7 else kinds[int(rng.integers(3))]
-        out.append((Block(("html", "body", *wrap, *own), " ".join(x for x in parts if x) + ("." if rng.random() < 0.7 else ""), 0.0), 0.0))
+        said = ". ".join(page.one(*says) for _ in page.some(1, 4))
+        parts = [page.words(int(page.rng.integers(1, 40))) if page.chance(0.5) else "", said, page.words(int(page.rng.integers(1, 20))) if page.chance(0.3) else ""]
+        own = kind if page.chance(0.7) else page.one("<p>{}</p>", "<div>{}</div>")
+        out.append(own.format(" ".join(x for x in parts if x) + page.one(".", "")))
 
-    for _ in range(int(rng.integers(0, 3))):
+    for _ in page.some(0, 3):
         notice()
-    for _ in range(int(rng.integers(1, 12))):
-        if rng.random() < 0.15:
+    for _ in page.some(1, 12):
+        if page.chance(0.15):
             notice()
-        out.append((Block(("html", "body", *wrap, *kind), pick(int(rng.integers(2, 80))), 0.0), 1.0))
-    for _ in range(int(rng.integers(0, 4))):
+        out.append(kind.format(page.words(int(page.rng.integers(2, 80))) + MARK))
+    for _ in page.some(0, 4):
         notice()
-    return out
+    return page.one("<body>{}", "<body><div>{}</div>", "<body><div><div>{}</div></div>", "<body><section>{}</section>", "<body><table><tr><td>{}</td></tr></table>").format("".join(out))
 
 
 def random_page(rng: np.random.Generator, lines: list[str]) -> list[tuple[Block, float]]:
     """A page laid out at random, as blocks with labels."""
+    page = RandomPage(rng, lines)
     if rng.random() < PLAIN_SHARE:
-        return plain_page(rng, lines)
-    pick = lambda words: " ".join(lines[int(rng.integers(len(lines)))].split()[:words]) or "x"
-    one = lambda *names: names[int(rng.integers(len(names)))]
-    some = lambda low, high: range(int(rng.integers(low, high)))
-    out: list[tuple[Block, float]] = []
-    add = lambda path, text, label=0.0, linked=0.0: out.append((Block(("html", "body", *path), text, linked), label))
-    if rng.random() < 0.4:
-        top = one("header", "div")
-        for _ in some(1, 3):
-            add((top, *(() if top == "header" else (one(".header", "#header", ".masthead", ".top"),)), one("p", "div", "h1")), pick(6))
-    if rng.random() < 0.3:
-        add(("div", one(".cookie", "#cookie", ".notice", ".banner", ".alert", ".consent"), one("p", "div")), one("We use cookies. ", "Notice: ", "") + pick(15))
-    menu = ("nav",) if rng.random() < 0.7 else ("div", one(".nav", ".menu", "#nav", ".navigation", ".breadcrumb"))
-    for _ in some(0, 9):
-        add((*menu, "ul", "li", "a"), pick(2), 0.0, 1.0)
-    advert = lambda: add(("div", one(".ad", ".ads", ".advert", ".sponsored", ".promo", "#ad")), pick(20))
-    for _ in some(0, 3):
-        advert()
-    body = [("article",), ("article",), ("main",), ("main", "article"), ("div", one("#content", ".content", ".post", ".entry", ".story", ".article"))][int(rng.integers(5))]
-    if rng.random() < 0.8:
-        add((*body, one("h1", "h1", "h2")), pick(12), 1.0)
-    for _ in some(1, 14):
-        kind, roll = "p", rng.random()
-        if roll < 0.1:
-            kind = one("h2", "h3", "blockquote", "pre", "figcaption")
-        elif roll < 0.18:
-            for _ in some(1, 5):
-                add((*body, one("ul", "ol"), "li"), pick(8), 1.0)
-            continue
-        elif roll < 0.22:
-            add((*body, "div", one(".ad", ".advert", ".related", ".share", ".newsletter", ".promo")), pick(12))
-            continue
-        elif roll < 0.25:
-            add((*body, "aside", "p"), pick(12))
-            continue
-        elif roll < 0.27:
-            for _ in some(1, 4):
-                add((*body, "table", "tr", "td"), pick(3), 1.0)
-            continue
-        add((*body, kind, *(("b",) if rng.random() < 0.1 else ())), pick(int(rng.integers(2, 80))), 1.0, float(rng.random() < 0.1) * rng.random() * 0.5)
-    if rng.random() < 0.4:
-        wrap = ("section", one(".comments", "#comments", ".discussion", ".responses")) if rng.random() < 0.5 else ("div", one(".comments", "#comments", ".comment", ".replies"))
-        for _ in some(1, 6):
-            add((*wrap, *((one("div", "article"), ".comment") if rng.random() < 0.5 else ()), "p"), pick(25))
-    if rng.random() < 0.4:
-        side = ("aside",) if rng.random() < 0.5 else ("div", one(".sidebar", "#sidebar", ".related", ".widget"))
-        for _ in some(1, 6):
-            add((*side, *(("ul", "li", "a") if rng.random() < 0.6 else ("p",))), pick(8), 0.0, 0.9)
-    if rng.random() < 0.2:
-        add(("form", one("label", "p", "div")), pick(5))
-    if rng.random() < 0.25:
-        advert()
-    if rng.random() < 0.85:
-        foot = ("footer",) if rng.random() < 0.8 else ("div", one(".footer", "#footer", ".copyright"))
-        for _ in some(1, 3):
-            add((*foot, *((one("p", "div"),) if rng.random() < 0.4 else ())), one("© ", "Copyright ", "") + pick(12))
+        page.odd, html = 0.0, ""
+        html = plain_html(page)
+    else:
+        html = page.html()
+    out = []
+    for block in leaf_blocks(html):
+        block.text, label = block.text.replace(MARK, "").strip() or "x", float(MARK in block.text)
+        out.append((block, label))
     return out
 
 
@@ -456,7 +609,7 @@ def fit_labeller(sample: list[str], steps: int = STEPS) -> BlockNetwork:
     def draw(_: int):
         pages = [own[int(rng.integers(len(own)))] if own and rng.random() < 0.3 else random_page(rng, lines) for _ in range(BATCH)]
         pages = [p for p in pages if p] or [[(Block(("html", "body", "article", "p"), "Text.", 0.0), 1.0)]]
-        return [[block_vector(b) for b, _ in p] for p in pages], np.array([y for p in pages for _, y in p], np.float32)
+        return [page_vectors([b for b, _ in p]) for p in pages], np.array([y for p in pages for _, y in p], np.float32)
 
     network.train(draw, steps)
     return network
@@ -473,7 +626,7 @@ def main_texts(network: BlockNetwork, pages: list[str]) -> list[str]:
         while at < len(order) and (not group or (len(group) + 1) * len(blocks[order[at]]) <= 20_000):
             group.append(order[at])
             at += 1
-        logits, _ = network.logits([[block_vector(b) for b in blocks[i]] for i in group])
+        logits, _ = network.logits([page_vectors(blocks[i]) for i in group])
         for i in group:
             out[i] = "\n".join(b.text for b, z in zip(blocks[i], logits[cells : cells + len(blocks[i])], strict=True) if z > 0)
             cells += len(blocks[i])

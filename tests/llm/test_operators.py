@@ -279,14 +279,73 @@ def test_labeller_against_what_was_written(trained_on):
         assert sum(t not in article for g, (_, article) in zip(got, pages, strict=True) for t in g) == 0, wrap
 
 
-def test_one_rule_labels_random_layouts_and_pages(monkeypatch):
+def made_up(r):
+    return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(5, 9)))
+
+
+def untold_pages(r, kind):
+    """(html, article paragraphs, words that mark everything else): names are made up or those of no list."""
+    say = lambda n: " ".join(f"wort{r.randrange(400)}" for _ in range(n)).capitalize() + "."
+    article = [say(r.randrange(15, 60)) for _ in range(5)]
+    body = f"<h1>{say(4)}</h1>" + "".join(f"<p>{a}</p>" for a in article)
+    name = {"disqus": "disqus", "commentlist": "commentlist", "opinions": "user-opinions"}.get(kind) or made_up(r)
+    outer, item = {"disqus": ("section", "div"), "commentlist": ("ol", "li"), "list": ("ul", "li"), "articles": ("section", "article")}.get(kind, ("div", "div"))
+    said = "".join(f"<{item} class='{name}-x'><div>Junk{k}</div><div>{k + 2} May 2024, 10:0{k}</div><p>junk {say(r.randrange(4, 30))}</p></{item}>" for k in range(r.randrange(2, 6)))
+    menu = "<ul>" + "".join(f"<li><a href='/{k}'>junk {k}</a></li>" for k in range(6)) + "</ul>"
+    notice, foot = f"<div class='{made_up(r)}'><p>junk куки {made_up(r)}</p></div>", f"<div class='{made_up(r)}'>&copy; 2024 junk <a href='/i'>junk</a></div>"
+    if kind == "table":
+        return f"<body><table><tr><td>{menu}</td><td>{body}</td></tr></table>{foot}", article
+    holder = {"role": "<div role=main>{}</div>", "article": "<article>{}</article>"}.get(kind, f"<div class='{made_up(r)}'>{{}}</div>").format(body)
+    return f"<html><body>{notice if kind == 'notice' else ''}<div class='{made_up(r)}'>{menu}</div>{holder}<{outer} class='{name}'>{said}</{outer}>{foot}</body></html>", article
+
+
+def test_labeller_by_structure(spark):
+    html = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").limit(64).collect()]
+    network, r = block_labeller.fit_labeller(html), random.Random(9)
+    for kind in ("disqus", "commentlist", "opinions", "list", "articles", "plain", "role", "article", "table", "notice"):
+        pages = [untold_pages(r, kind) for _ in range(30)]
+        got = [t.split("\n") for t in block_labeller.main_texts(network, [h for h, _ in pages])]
+        kept = sum(any("junk" in t.lower() for t in g) for g in got)
+        lost = sum(a not in g for g, (_, article) in zip(got, pages, strict=True) for a in article)
+        assert kept <= 2 and lost <= 5, (kind, kept, lost)
+
+
+def test_labeller_on_all_pages(spark):
+    """Against the article element's own text, cut by another rule."""
+    import html as entities
+    import re
+
+    def article(page):
+        inner = re.search(r"(?s)<article>(.*?)</article>", page)[1]
+        parts = (" ".join(entities.unescape(re.sub("<[^>]*>", " " if "<br>" in x else "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner))
+        return "\n".join(x for x in parts if x)
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    want = {r.page_id: article(r.html) for r in pages.collect()}
+    got = {r.page_id: r.text for r in block_labeller.extract_pages(pages).collect()}
+    tight = lambda t: "\n".join("".join(x.split()) for x in t.split("\n"))
+    assert [i for i in want if tight(want[i]) != tight(got[i])] == [] and len(got) == 2500
+
+
+def test_random_pages_mark_the_article_alone():
     import numpy as np
 
-    monkeypatch.setattr(block_labeller, "PLAIN_SHARE", 0)
     rng = np.random.default_rng(2)
-    for _ in range(200):
-        page = block_labeller.random_page(rng, ["some words of a line that are borrowed"])
-        assert block_labeller.marked_labels([b for b, _ in page]) == [y for _, y in page]
+    pages = [block_labeller.random_page(rng, ["some words of a line that are borrowed"]) for _ in range(200)]
+    assert all(any(y for _, y in page) for page in pages) and 0.3 < np.mean([y for page in pages for _, y in page]) < 0.9
+    never = frozenset(("nav", "footer", "form", "aside"))
+    assert not any(y and not never.isdisjoint(b.path) for page in pages for b, y in page)
+    assert not any(block_labeller.MARK in b.text for page in pages for b, _ in page)
+
+
+def test_structure_of_a_page():
+    page = "<body><ul><li><a>Menu</a><li><a>More</a></ul><div><p>" + "Long text here. " * 9 + "<p>" + "Other text here. " * 9 + "</div><ol><li><b>Ann</b><p>1 May 2024<p>Said so<li><b>Bob</b><p>2 May 2024<p>No</ol>"
+    blocks = block_labeller.leaf_blocks(page)
+    rows = block_labeller.structure(blocks)
+    assert [b.text.split()[0] for b in blocks] == ["Menu", "More", "Long", "Other", "Ann", "1", "Said", "Bob", "2", "No"]
+    assert [r[2] for r in rows] == [0, 0, 1, 1, 0, 0, 0, 0, 0, 0] and [r[3] for r in rows] == [1, 1] + [0] * 8 and [r[4] for r in rows] == [0] * 4 + [1] * 6
+    assert [r[5] > 0 for r in rows] == [False] * 4 + [True] * 6 and [r[6] for r in rows] == [0] * 4 + [1] * 6 and rows[0][7] == 1
+    assert block_labeller.structure([]) == []
 
 
 def test_labeller_of_odd_pages(spark):
