@@ -30,6 +30,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from .shared import Recent
 
 SAMPLE_PAGES, SAMPLE_CHARS, SAMPLE_LINES, TRAIN_BLOCKS, PAGE_PARTS = 64, 1_000_000, 3000, 80, 5
-STEPS, BATCH = 340, 24
+STEPS, BATCH = 300, 24
 PLAIN_SHARE = 0.25
 PATH_SHARE, WORD_SHARE, HIDDEN, NUMBERS = 384, 1024, 20, 16
 FEATURES = PATH_SHARE + WORD_SHARE
@@ -53,7 +54,6 @@ RAW_TAGS = frozenset("script style textarea title noscript iframe".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|itemprop|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _MARKS = {"class": ".", "id": "#", "role": "@", "itemprop": "="}
-_SPACE = re.compile(r"\s+")
 HEAD_TAGS = frozenset("base basefont bgsound link meta title noscript noframes style script template html head".split())
 _MAY_STAY_OPEN = re.compile(r"<(?:button|select|svg|object|canvas|template)\b", re.I)
 _ENDS_P = BLOCK_TAGS - {"body", "html", "head"}
@@ -97,7 +97,7 @@ def leaf_blocks(page: str) -> list[Block]:
     template that has no end tag."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], bool]] = []  # the last: dropped, but without an end tag
-    chain: tuple[tuple[int, tuple[str, ...]], ...] = ()
+    around: tuple[tuple[int, tuple[str, ...]], ...] = ()
     made = 0
     unclosed = unclosed_starts(page)
     path: tuple[str, ...] = ()
@@ -107,19 +107,20 @@ def leaf_blocks(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
+            text = "".join(parts)
+            text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text:
-                out.append(Block(path, text, min(1.0, linked / max(1, len(text))), chain))
+                out.append(Block(path, text, min(1.0, linked / max(1, len(text))), around))
             parts.clear()
             linked = 0
 
     def leave(k: int) -> None:
-        nonlocal path, chain, dropped, links
+        nonlocal path, around, dropped, links
         for tag, _, _ in stack[k:]:
             dropped -= tag in DROPPED_TAGS
             links -= tag == "a"
         del stack[k:]
-        path, chain = tuple(n for _, names, _ in stack for n in names), chain[:k]
+        path, around = tuple(n for _, names, _ in stack for n in names), around[:k]
 
     at = 0
     while at < len(page):
@@ -158,7 +159,10 @@ def leaf_blocks(page: str) -> list[Block]:
             flush()
             for k in range(len(stack) - 1, -1, -1):
                 open_tag = stack[k][0]
-                if open_tag == "p" and tag in _ENDS_P or open_tag == tag and tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
+                if open_tag == "p" and tag in _ENDS_P:
+                    leave(k)
+                    continue
+                if open_tag == tag and tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
                     leave(k)
                     break
                 if open_tag in BLOCK_TAGS:
@@ -183,7 +187,7 @@ def leaf_blocks(page: str) -> list[Block]:
         dropped += tag in DROPPED_TAGS
         links += tag == "a"
         made += 1
-        path, chain = path + stack[-1][1], (*chain, (made, stack[-1][1]))
+        path, around = path + stack[-1][1], (*around, (made, stack[-1][1]))
     flush()
     return out
 
@@ -307,8 +311,8 @@ class BlockNetwork:
         """Flat block inputs and each page's length."""
         blocks = [b for page in pages for b in page]
         sizes = np.array([len(s) for s, _, _ in blocks], dtype=np.int64)
-        spots = np.array([x for s, _, _ in blocks for x in s], dtype=np.int64)
-        weights = np.array([x for _, w, _ in blocks for x in w], dtype=np.float32)
+        spots = np.fromiter(chain.from_iterable(s for s, _, _ in blocks), dtype=np.int64, count=int(sizes.sum()))
+        weights = np.fromiter(chain.from_iterable(w for _, w, _ in blocks), dtype=np.float32, count=int(sizes.sum()))
         numbers = np.array([n for _, _, n in blocks], dtype=np.float32).reshape(-1, NUMBERS)
         return spots, weights, sizes, numbers, np.array([len(p) for p in pages], dtype=np.int64)
 
