@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.prefixes import explained_languages, segments
 from ..sources.feeds import channel_posts, indexed, json_log, read_word_documents, written_document
 from ..sources.shared import new_path
 from ..sources.tables import ARTICLES_SQL, articles, table
@@ -123,6 +124,27 @@ def evd_language_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("page_id", "tag", F.coalesce((F.col("tag") == "en") | (F.col("since") <= F.col("page_id") % 30 + 1), F.lit(False)).alias("explained"))
 
 
+#: Rules on every second page's path: its first segments, without what lies below three of them; some are drafts or undated.
+_RULE_COLUMNS = [
+    "concat('r', lpad(cast(page_id as string), 9, '0')) as rule", "host", "array(array_join(slice(s, 1, cast(page_id % 2 + 1 as int)), '/')) as prefixes", "if(page_id % 6 = 0, array(array_join(slice(s, 1, 2), '/')), cast(array() as array<string>)) as excluded",
+    "'xx' as declared", "lang as content", "page_id % 28 as reviewed_at", "page_id % 20 as evidence_at", "if(page_id % 10 = 0, 'draft', 'verified') as status",
+]
+
+
+@query(r"""with p as (select page_id, regexp_extract(url, '^https?://([^/]+)', 1) as host, list_filter(string_split(regexp_extract(url, '^https?://[^/]+([^?#]*)', 1), '/'), lambda x: x != '') as s, regexp_extract(url, '^https?://[^/]+/([a-z]+)', 1) as lang from pages),
+a as (select *, case when page_id % 4 = 0 then 'xx' else lang end as declared, page_id % 30 as day from p),
+r as (select page_id as rule_id, 'r' || lpad(cast(page_id as varchar), 9, '0') as rule, host, s[1:page_id % 2 + 1] as prefix, case when page_id % 6 = 0 then s[1:2] end as excluded, lang as content, page_id % 28 as reviewed_at from p where page_id % 2 = 0 and page_id % 10 != 0 and page_id % 20 <= page_id % 28),
+m as (select a.page_id, min(rule) as rule from a join r on r.host = a.host and a.declared = 'xx' and r.content = a.lang and r.content != 'xx' and reviewed_at <= day and a.s[1:len(r.prefix)] = r.prefix and (excluded is null or a.s[1:len(excluded)] != excluded) group by 1)
+select a.page_id as id, m.rule, case when m.rule is null then declared end as language, m.rule is null and declared = lang as verified, m.rule is null and declared = lang as matches from a left join m on m.page_id = a.page_id""")
+def evd_language_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVD-12: a wrong language tag is explained by a verified, dated rule for its host and a path prefix of any depth."""
+    path = F.regexp_extract("url", "^https?://[^/]+([^?#]*)", 1)
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), path.alias("path"), segments(path).alias("s"), F.regexp_extract("url", "^https?://[^/]+/([a-z]+)", 1).alias("lang"))
+    rules = pages.filter("page_id % 2 = 0").selectExpr(*_RULE_COLUMNS)
+    asked = pages.selectExpr("page_id as id", "host", "path", "if(page_id % 4 = 0, 'xx', lang) as declared", "lang as wanted", "page_id % 30 as at")
+    return explained_languages(asked, rules)
+
+
 @query("with f as (select user_id, event_type, min(ts) as first_at, arg_min(event_id, (ts, event_id)) as first_listing, count(*) as n from events group by all) select user_id, event_type, first_listing, row_number() over (partition by user_id order by n desc, first_at, event_type) as rank from f")
 def evd_first_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EVD-14: the first listing of each source and lead, and the leads ranked anew from the archive."""
