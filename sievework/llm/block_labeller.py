@@ -553,7 +553,7 @@ class RandomPage:
         before = [f() for f, share in ((self.notice, 0.3), (self.menu, 0.75), (self.advert, 0.4)) if self.chance(share)]
         after = [f() for f, share in ((self.comments, 0.45), (self.side, 0.4), (self.form, 0.2), (self.advert, 0.2), (self.menu, 0.15), (self.notice, 0.15)) if self.chance(share)]
         foot = self.footer() if self.chance(0.8) else ""
-        if self.chance(0.12):
+        if self.chance(0.22):
             cells = [*before[:1], self.article(), *after[:1]]
             middle = "<table><tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr></table>" + "".join(after[1:])
         else:
