@@ -53,10 +53,10 @@ def other_bearers(rows: DataFrame, offices: list[str], states: DataFrame, bearer
     if not offices:
         raise ValueError("no offices")
     quoted = "|".join(rf"\Q{o}\E" for o in sorted(offices, key=len, reverse=True))
-    pattern = rf"(?s)(.{{1,{BEFORE}}}?)\s{{0,3}}(?:{quoted})\s{{0,3}}({name})"
-    part = lambda k: F.regexp_extract_all("text", F.lit(pattern), F.lit(k))
-    found = rows.select("id", F.posexplode(F.arrays_zip(part(1).alias("before"), part(2).alias("sample"))).alias("at", "m"))
-    found = found.select("id", "at", F.rtrim("m.before").alias("before"), "m.sample")
+    pattern = rf"(?:{quoted})\s{{0,3}}({name})"
+    # what stands between one place and the next one is what stands before the latter
+    spots = rows.select("id", F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("samples"), F.split("text", pattern).alias("pieces")).filter(F.size("samples") > 0)
+    found = spots.select("id", F.posexplode(F.transform("samples", lambda s, k: F.struct(s.alias("sample"), F.right(F.rtrim(F.get("pieces", k)), F.lit(BEFORE)).alias("before")))).alias("at", "m")).select("id", "at", "m.*")
     placed = found.withColumn("word", F.explode(_suffixes(F.col("before")))).join(states.select("word", "code").distinct(), "word").groupBy("id", "at", "sample").agg(F.max_by("code", F.struct(F.length("word"), "code")).alias("code"))
     forms = bearers.select("form").filter("form != ''").distinct()
     ends = forms.agg(F.min(F.length("form")), F.max(F.length("form"))).first()

@@ -62,7 +62,7 @@ def val_office_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     SQL has no pattern made of a table's rows: a test holds the operator against a loop over the text."""
     rows = articles(spark, sf_dir).select("id", "country", F.col("content").alias("text"))
     triples = rows.filter("country is not null").select("country", F.explode(F.regexp_extract_all("text", F.lit(r"(?=\b(\p{L}+ \p{L}+ \p{L}+)\b)\b\p{L}"), F.lit(1))).alias("w")).select("country", *(F.split_part("w", F.lit(" "), F.lit(k)).alias(f"w{k}") for k in (1, 2, 3)))
-    counts = triples.groupBy("country", "w1", "w2", "w3").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(triples.groupBy("country", "w1", "w2", "w3").agg(F.count(F.lit(1)).alias("n")), "triples")
     states = counts.groupBy("country", "w1", "w2").agg(F.sum("n").alias("n")).groupBy("country").agg(F.max_by(F.struct("w1", "w2"), F.struct("n", "w1", "w2")).alias("s")).select(F.col("country").alias("code"), F.col("s.w1").alias("word"), F.col("s.w2").alias("office"))
     states = stage(states, "states")
     thirds = counts.join(states, F.expr("country = code and w1 = word and w2 = office")).groupBy("code").agg(F.max_by("w3", F.struct("n", "w3")).alias("form"))
