@@ -38,7 +38,7 @@ _ORGANISATIONS = 100
 #: The commonest words of three letters are short forms; the commonest long words are their names, in the same order.
 _ORGS_SQL = f"""{ARTICLES_SQL}, seen as (select distinct id, unnest(regexp_extract_all(lower(content), '[a-zà-ÿ]+')) as word from articles), counts as (select word, length(word) = 3 as brief, count(*) as n from seen where length(word) = 3 or length(word) >= 8 group by all),
 ranked as (select word, brief, row_number() over (partition by brief order by n desc, word) as r from counts), orgs as (select s.word as short, l.word as name from ranked s join ranked l using (r) where s.brief and not l.brief and r <= {_ORGANISATIONS}),
-words as (select distinct id, short from (select id, unnest(regexp_extract_all(lower(title), '[a-zà-ÿ0-9]+')) as short from articles) join orgs using (short)),
+words as (select distinct id, short from (select id, unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')) as short from articles) join orgs using (short)),
 named as (select id, short, name from articles join orgs on contains(lower(content), name))"""
 
 
