@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.vocabulary import keyword_hits, relevance, scored, word_table
+from ..sources.shared import stage
 from ..sources.tables import ARTICLES_SQL, CATEGORIES, articles
 from .registry import query
 
@@ -25,8 +26,8 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_table(articles(spark, sf_dir).filter("country is not null"), HOME)
 
 
-def _title_hits(rows: DataFrame, words: DataFrame) -> DataFrame:
-    return keyword_hits(rows.select("id", F.col("title").alias("text")), words)
+def _title_hits(rows: DataFrame, words: DataFrame, *carry: str) -> DataFrame:
+    return keyword_hits(rows.select("id", F.col("title").alias("text")), words, carry=carry)
 
 
 @query(f"with {VOCABULARY_SQL} select keyword, country, side, kind, category, weight from vocabulary")
@@ -47,7 +48,7 @@ def flt_relevant_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-01, FLT-02, FLT-03, VAL-03: whether a row is its country's, by the first rule of the keyword table that decides."""
     rows, words = articles(spark, sf_dir), vocabulary(spark, sf_dir)
     asked = rows.select("id", "country", F.expr("case when id % 3 = 0 then null when id % 7 = 0 then 'intl' when id % 5 = 0 then 'fr' else country end").alias("source_country"))
-    return relevance(asked, _title_hits(rows, words), words)
+    return relevance(asked, _title_hits(rows, words, "country", "side", "kind"), words)
 
 
 _ORDER_SQL = "[" + ", ".join(f"'{c}'" for c in CATEGORIES) + "]"
@@ -60,10 +61,11 @@ select id, coalesce(tags, 'general') as tags, coalesce(first, 'economy') as cate
 def prj_labels_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-05, PRJ-06, PRJ-07: a row's tags, the first category in the list's order, and the country with most entries (the first one of equals)."""
     rows, words = articles(spark, sf_dir), vocabulary(spark, sf_dir)
-    hits = _title_hits(rows, words).join(words.select("keyword", "country", "kind", "category"), "keyword")
+    hits = _title_hits(rows, words, "country", "kind", "category").groupBy("id", "country", "kind", "category").agg(F.count(F.lit(1)).alias("n"))
+    hits = stage(hits, "hits")
     order = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category"))
     tags = hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct(order.alias("at"), "category"))).alias("t"))
-    counts = hits.filter("kind = 'country'").groupBy("id", "country").agg(F.count(F.lit(1)).alias("n"))
+    counts = hits.filter("kind = 'country'").groupBy("id", "country").agg(F.sum("n").alias("n"))
     places = counts.groupBy("id").agg(F.max_by("country", F.struct("n", -F.array_position(F.array(*map(F.lit, HOME)), F.col("country")))).alias("place"))
     met = rows.select("id").join(tags, "id", "left").join(places, "id", "left")
     return met.select("id", F.coalesce(F.array_join(F.transform("t", lambda x: x["category"]), ","), F.lit("general")).alias("tags"), F.coalesce(F.get("t", F.lit(0))["category"], F.lit("economy")).alias("category"), "place")
@@ -75,8 +77,8 @@ select id, cast(coalesce(sum(w), 0) as bigint) as score, count(w) as n_hits from
 def agg_score_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-08: the weights of the entries in the title, three times, and in the line below it; how often doesn't count."""
     rows, words = articles(spark, sf_dir), vocabulary(spark, sf_dir)
-    title = scored(_title_hits(rows, words), words)
-    below = scored(keyword_hits(rows.select("id", F.expr("trim(split_part(content, '\\n', 2))").alias("text")), words), words)
+    title = scored(_title_hits(rows, words, "weight"), words)
+    below = scored(keyword_hits(rows.select("id", F.expr("trim(split_part(content, '\\n', 2))").alias("text")), words, carry=["weight"]), words)
     both = title.select("id", (3 * F.col("score")).alias("score"), "hits").union(below.select("id", "score", "hits")).groupBy("id").agg(F.sum("score").alias("score"), F.sum("hits").alias("hits"))
     return rows.select("id").join(both, "id", "left").select("id", F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("hits", F.lit(0)).alias("n_hits"))
 
