@@ -58,3 +58,12 @@ def test_no_candidate_is_shuffled(spark):
     frame = spark.createDataFrame([(0, k, "x", [k, k + 1]) for k in range(9)], "side int, id long, block string, grams array<long>")
     plan = tiles.tiled_pairs(frame, (0, 0), 0.3, Scratch(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("FlatMapGroupsInArrow") < plan.index("Join") and "Aggregate" not in plan[: plan.index("FlatMapGroupsInArrow")]
+
+
+def test_low_floor_is_not_staged(spark):
+    """Most pairs of a block may reach a low floor; they go from their tasks to the reader, not to a table first."""
+    from sievework.operators.similarity import similar_pairs
+
+    frame = spark.createDataFrame([(k, "x", f"title {k % 7} of many") for k in range(20)], "id long, block string, title string")
+    kept, passed = similar_pairs(frame, 0.28), similar_pairs(frame, 0.28, staged=False)
+    assert "FlatMapGroupsInArrow" in passed._jdf.queryExecution().optimizedPlan().toString() and sorted(kept.collect()) == sorted(passed.collect())
